@@ -64,21 +64,25 @@ def dense_chunk(position, rows: int = CHUNK_ROWS) -> Column:
     return F.floor(F.col(position) / F.lit(rows)).cast("long")
 
 
-def scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
+def scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column | str,
          columns: dict[str, Carry]) -> DataFrame:
-    """Add running columns over ``order`` inside ``keys``.
+    """Add running columns over ``order`` inside the non-null ``keys``.
 
     ``chunk`` must not decrease along ``order``. A key that fits one chunk costs one
-    window; only keys with several chunks appear in the carry table.
+    window; only keys with several chunks appear in the carry table. Given as a column
+    name, ``chunk`` stays in the result, and a second scan over the same keys reuses
+    the partitioning of the first.
     """
-    base = df.withColumn("_chunk", chunk)
+    keep_chunk = isinstance(chunk, str)
+    cname = chunk if keep_chunk else "_chunk"
+    base = df if keep_chunk else df.withColumn(cname, chunk)
     names = list(columns)
     for i, name in enumerate(names):
         spec = columns[name]
         value = F.struct(spec.expr.alias("v")) if spec.kind in ("lag", "lead") else spec.expr
         base = base.withColumn(f"_v{i}", value)
 
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    inside = Window.partitionBy(*keys, cname).orderBy(*order)
     local = base
     for i, name in enumerate(names):
         spec = columns[name]
@@ -114,9 +118,9 @@ def scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
             folds.append(F.max_by(v, place).alias(f"_t{i}"))
         else:
             folds.append(F.min_by(v, place).alias(f"_t{i}"))
-    totals = base.groupBy(*keys, "_chunk").agg(*folds)
+    totals = base.groupBy(*keys, cname).agg(*folds)
 
-    across = Window.partitionBy(*keys).orderBy("_chunk")
+    across = Window.partitionBy(*keys).orderBy(cname)
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.withColumn("_chunks", F.count("*").over(Window.partitionBy(*keys)))
     picks = []
@@ -136,12 +140,12 @@ def scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
             e = F.lead(t).over(across)
         picks.append(e.alias(f"_c{i}"))
     carried = (carried.select(*[F.col(k).alias(f"_k{j}") for j, k in enumerate(keys)],
-                              F.col("_chunk").alias("_kc"), "_chunks", *picks)
+                              F.col(cname).alias("_kc"), "_chunks", *picks)
                .filter("_chunks > 1").drop("_chunks"))
 
-    match = F.col("_chunk") == F.col("_kc")
+    match = F.col(cname) == F.col("_kc")
     for j, k in enumerate(keys):
-        match = match & F.col(k).eqNullSafe(F.col(f"_k{j}"))
+        match = match & (F.col(k) == F.col(f"_k{j}"))
     joined = local.join(carried, match, "left")
 
     out = []
