@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -166,6 +167,42 @@ def scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column | str,
     return joined.select(*kept, *out)
 
 
+def fold(df: DataFrame, keys: list[str], order: list[str], start, step, finish, schema: str) -> DataFrame:
+    """Left fold over the ordered rows of each key, for rules Catalyst cannot express.
+
+    Rows stream through a task in sorted Arrow batches and only ``start()``'s state is
+    kept, so a key never has to fit in memory; the caller keeps that state bounded.
+    ``step(state, frame)`` takes consecutive rows of one key, ``finish(state)`` gives the
+    result tuples, which follow the key columns in ``schema``.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ready = df.repartition(n, *keys).sortWithinPartitions(*keys, *order)
+    fields = [f.strip().split()[0] for f in schema.split(",")]
+
+    def run(batches):
+        key, state = None, None
+        for pdf in batches:
+            rows = []
+            at = pdf[keys].apply(tuple, axis=1) if len(keys) > 1 else pdf[keys[0]]
+            cuts = at.ne(at.shift()).cumsum()
+            for _, part in pdf.groupby(cuts.to_numpy(), sort=False):
+                k = tuple(part.iloc[0][c] for c in keys)
+                if key is not None and k != key:
+                    rows += [(*key, *r) for r in finish(state)]
+                    state = None
+                if state is None:
+                    key, state = k, start()
+                step(state, part)
+            if rows:
+                yield pd.DataFrame(rows, columns=fields)
+        if key is not None:
+            rows = [(*key, *r) for r in finish(state)]
+            if rows:
+                yield pd.DataFrame(rows, columns=fields)
+
+    return ready.mapInPandas(run, schema)
+
+
 def heavy_keys(df: DataFrame, keys: list[str], rows: int = HEAVY_ROWS) -> DataFrame:
     """Keys with more than ``rows`` rows and more than 1/HEAVY_SHARE of the table.
 
