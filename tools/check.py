@@ -72,8 +72,9 @@ def main(folder, names):
             print(f"ok   {q.name}: {len(rows)} rows {took:.1f}s (sql {dt:.1f}s)")
         else:
             bad += 1
-            only_g = [r for r in got if r not in set(exp)][:3]
-            only_e = [r for r in exp if r not in set(got)][:3]
+            sg, se = set(got), set(exp)
+            only_g = [r for r in got if r not in se][:3]
+            only_e = [r for r in exp if r not in sg][:3]
             print(f"DIFF {q.name}: {len(got)} vs {len(exp)} {order}\n   spark {str(only_g)[:700]}\n   sql   {str(only_e)[:700]}")
     print("bad:", bad)
 
