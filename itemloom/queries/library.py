@@ -86,11 +86,11 @@ def _(t):
     return A.attachments(files, "fr").select("path", "kind")
 
 
-@query("expired_files", "R3", """WITH m AS (SELECT max(ts) AS now FROM events) SELECT event_id FROM events, m WHERE ts < now - INTERVAL 24 HOUR AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error')""")
+@query("expired_files", "R3", """WITH m AS (SELECT max(ts) AS now FROM events) SELECT event_id FROM events, m WHERE ts < now - INTERVAL 24 HOUR AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 40)""")
 def _(t):
     now = t.events.select(F.max("ts")).scalar()
     files = t.events.select("event_id", F.col("user_id").alias("path"), F.col("ts").alias("mtime"))
-    active = t.events.filter("event_type = 'error'").select(F.col("user_id").alias("path"))
+    active = t.events.filter("event_type = 'error' AND value > 40").select(F.col("user_id").alias("path"))
     return A.expired_files(files, active, now).select("event_id")
 
 
