@@ -288,11 +288,11 @@ def assign_options(figures: DataFrame, anchors: DataFrame | None, mode: str) ->
     """(doc, item, label, figure) for items whose figures can be told apart.
 
     ``reading``: four figures in reading order; ``grid``: the only regular four of N;
-    ``cost``: least distance to the printed labels. An item's figures and labels are a
-    handful by nature; items with more than twelve figures are not choice items and go
-    unassigned, as do all others whose layout decides nothing.
+    ``cost``: least distance to the printed labels. An item's figures and labels
+    all come from its own body, which is one row, so a group is no larger than that row.
+    Items whose layout decides nothing go unassigned.
     """
-    boxes = figures.groupBy("doc", "item").agg(F.count("*").alias("n")).filter("n BETWEEN 4 AND 12").select("doc", "item")
+    boxes = figures.groupBy("doc", "item").agg(F.count("*").alias("n")).filter("n >= 4").select("doc", "item")
     per = (figures.join(boxes, ["doc", "item"], "left_semi").groupBy("doc", "item")
            .agg(F.array_sort(F.collect_list(F.struct("figure", "page", "x0", "y0", "x1", "y1"))).cast(BOX).alias("boxes")))
     if anchors is not None:

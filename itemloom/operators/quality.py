@@ -29,8 +29,8 @@ def declared_mismatch(blocks: DataFrame) -> DataFrame:
 
 def long_blocks(blocks: DataFrame) -> DataFrame:
     """Unmarked stems longer than four times the median of their section."""
-    rows = stems_of(blocks).filter(~F.col("text").rlike(M.SOLUTION_MARK)).select(
-        "doc", "idx", "number", F.coalesce("section", F.lit("")).alias("section"), visible_length(F.col("text")).alias("size"))
+    rows = materialise(stems_of(blocks).filter(~F.col("text").rlike(M.SOLUTION_MARK)).select(
+        "doc", "idx", "number", F.coalesce("section", F.lit("")).alias("section"), visible_length(F.col("text")).alias("size")))
     sizes = rows.groupBy("doc", "section", "size").agg(F.count("*").alias("k"))
     medians = sizes.groupBy("doc", "section").agg(F.sum("k").alias("n"), F.percentile("size", F.lit(0.5), F.col("k")).alias("median"))
     near = medians.filter((F.col("n") >= LONG_MIN_BLOCKS) & (F.col("median") > 0))

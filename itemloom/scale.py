@@ -267,6 +267,7 @@ def join_counted(left: DataFrame, right: DataFrame, on: list[str], row_id: str,
     A key with more than ``slice_rows`` left rows is cut into slices: its single right
     row is repeated once per slice and left rows pick a slice by hash of ``row_id``.
     """
+    right = materialise(right)  # read three times below
     total = right.select(F.sum(count)).scalar()
     big = right.filter((F.col(count) > slice_rows) & (F.col(count) * HEAVY_SHARE > total)).select(
         *[F.col(k).alias(f"_b{j}") for j, k in enumerate(on)],

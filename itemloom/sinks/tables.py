@@ -40,10 +40,10 @@ def publish(df: DataFrame, path: str, partition_by: list[str] | None = None) ->
     out = fs.create(draft, True)
     out.write(bytearray(version.encode()))
     out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    if not fs.rename(draft, p):
-        raise OSError(f"could not publish {path}")
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    files.rename(files.makeQualified(draft), files.makeQualified(p), overwrite)
     return version
 
 

@@ -118,10 +118,10 @@ def parse_items(texts: DataFrame, kind_field: str = "kind", item_kind: str = "qu
         F.map_filter(v, lambda k, _x: ~k.isin(*KNOWN, kind_field)).alias("extra_meta"))
 
 
-def read_bank(spark: SparkSession, root: str, folder: str = "", recursive: bool = True, **kind) -> DataFrame:
+def read_bank(spark: SparkSession, root: str, folder: str = "", recursive: bool = True, pattern: str = "*.md", **kind) -> DataFrame:
     """Items of a bank or of one folder; other folders are pruned before any file is read."""
     base = f"{root.rstrip('/')}/{folder}".rstrip("/")
-    texts = read_texts(spark, base).withColumn("path", F.concat(F.lit(folder + "/" if folder else ""), F.col("path")))
+    texts = read_texts(spark, base, pattern).withColumn("path", F.concat(F.lit(folder + "/" if folder else ""), F.col("path")))
     items = parse_items(texts, **kind)
     return items if recursive else items.filter(F.col("folder") == folder)
 
@@ -139,9 +139,9 @@ def read_archives(spark: SparkSession, root: str) -> DataFrame:
 LAYOUT_ROW = ("array<struct<page_idx:int,type:string,text:string,list_items:array<string>,img_path:string,bbox:array<double>>>")
 
 
-def read_layouts(spark: SparkSession, root: str) -> DataFrame:
+def read_layouts(spark: SparkSession, root: str, pattern: str = "*_content_list.json") -> DataFrame:
     """Layout rows of the newest list file per folder, boxes on the 0 to 1000 scale."""
-    files = read_texts(spark, root, "*_content_list.json").withColumn("doc", F.regexp_replace("path", r"/[^/]*$", ""))
+    files = read_texts(spark, root, pattern).withColumn("doc", F.regexp_replace("path", r"/[^/]*$", ""))
     newest = files.groupBy("doc").agg(F.max_by("text", F.struct("modified", "path")).alias("text"))
     rows = newest.select("doc", F.posexplode(F.from_json("text", LAYOUT_ROW)).alias("seq", "r"))
     box = normal_box(F.col("r.bbox"))
