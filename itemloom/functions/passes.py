@@ -187,3 +187,49 @@ def topic_key(title: Column) -> Column:
 def topic_core(key: Column) -> Column:
     core = F.regexp_replace(key, DECORATION, "")
     return F.when(core == "", key).otherwise(core)
+
+
+def split_glued_heads(text: Column, numbers: Column) -> Column:
+    """A line break before each expected solution number that occurs once and is glued to the line before."""
+    answer = r"(?:(?:[A-DＡ-Ｄ](?:[ \t,，、/]*[A-DＡ-Ｄ]){0,3})[ \t]*)?【(?:答案|详解|解析)】"
+    part = r"[（(][ \t]*1[ \t]*[)）]"
+
+    def step(acc, n):
+        after = F.when(F.array_contains(numbers, n - 1), answer + "|" + part).otherwise(answer)
+        head = F.concat(F.lit(r"(?<![\d.．])("), n.cast("string"), F.lit(r"[ \t]*[.．、][ \t]*(?:"), after, F.lit("))"))
+        once = F.regexp_count(acc, head) == 1
+        glued = F.regexp_count(acc, F.concat(F.lit(r"(?m)^[^\n]*\S[^\n]*?"), head)) == 1
+        return F.when(once & glued, F.regexp_replace(acc, F.concat(F.lit(r"\s*"), head), F.lit("\n\n$1"))).otherwise(acc)
+
+    return F.aggregate(numbers, text, step)
+
+
+# Commands and the width they add.
+COMMAND_WIDTH = {"vec": 0, "overrightarrow": 0, "overline": 0, "hat": 0, "bar": 0, "dot": 0, "tilde": 0, "widehat": 0, "widetilde": 0,
+                 "boldsymbol": 0, "mathrm": 0, "mathbf": 0, "left": 0, "right": 0, "displaystyle": 0, "sqrt": 1, "cdot": 1, "times": 1, "div": 1, "pm": 1, "mp": 1}
+SHORT_OPTION, MIDDLE_OPTION = 10, 28
+
+
+def visible_width(option: Column) -> Column:
+    """Estimated print width: a fraction counts its wider part, commands their fixed width, wide characters two."""
+    t = F.regexp_replace(option, r"^\s*\$\\displaystyle\s*[A-D][.．]\s*\$", "")
+    t = F.replace(F.regexp_replace(t, r"^\s*(?<![A-Za-z\\])[A-D][.．]", ""), F.lit("$"), F.lit(""))
+    fraction = r"\\[dt]?frac\s*\{([^{}]*)\}\s*\{([^{}]*)\}"
+
+    def plain(s):
+        names = F.regexp_extract_all(s, F.lit(r"\\([a-zA-Z]+)"), F.lit(1))
+        width = F.aggregate(names, F.lit(0), lambda acc, n: acc + F.coalesce(F.element_at(costs, n), F.lit(1)))
+        rest = F.regexp_replace(F.regexp_replace(s, r"\\[a-zA-Z]+", ""), r"[{}\s]", "")
+        return width + F.length(rest) + F.regexp_count(rest, F.lit(r"[^\x{0}-\x{2E7F}]"))
+
+    costs = F.create_map(*[x for k, v in COMMAND_WIDTH.items() for x in (F.lit(k), F.lit(v))])
+    nums = F.regexp_extract_all(t, F.lit(fraction), F.lit(1))
+    dens = F.regexp_extract_all(t, F.lit(fraction), F.lit(2))
+    stacked = F.aggregate(F.zip_with(nums, dens, lambda a, b: F.greatest(plain(a), plain(b), F.lit(1))), F.lit(0), lambda acc, w: acc + w)
+    return plain(F.regexp_replace(t, fraction, "")) + stacked
+
+
+def option_columns(options: Column) -> Column:
+    """Columns the options of an item are set in: 4, 2 or 1, by the widest."""
+    widest = F.coalesce(F.array_max(F.transform(options, visible_width)), F.lit(0))
+    return F.when(widest <= SHORT_OPTION, 4).when(widest <= MIDDLE_OPTION, 2).otherwise(1)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.passes import nfkc, topic_core, topic_key
-from ..scale import dense_chunk, fold, lead, running_count, scan
+from ..scale import dense_chunk, fold, lag, lead, running_count, scan
 from ..session import materialise
 
 # Title words and limits.
@@ -196,3 +196,34 @@ def rising_starts(numbers: DataFrame) -> DataFrame:
         return [(x,) for x in best["lines"]]
 
     return fold(numbers, ["doc"], ["line_no"], list, step, finish, f"doc {dict(numbers.dtypes)['doc']}, line_no long")
+
+
+def titled_units(lines: DataFrame, min_coverage: float = 0.80) -> tuple[DataFrame, DataFrame]:
+    """(units, rejected documents) of a collection cut at confirmed titles.
+
+    ``lines(doc, line_no, is_title, key, number)``. Neighbouring titles with one key are one
+    run, of which the last title counts that is followed by numbers from 1 covering at least
+    80 % of their range. A document needs two confirmed runs, and no unconfirmed run after
+    the first confirmed one.
+    """
+    titles = lines.filter("is_title").select("doc", "line_no", "key")
+    marked = materialise(scan(titles, ["doc"], ["line_no"], dense_chunk("line_no"), {"_k": lag(F.col("key"))}))
+    opens = marked.select("doc", "line_no", "key", (F.col("_k").isNull() | (F.col("_k") != F.col("key"))).alias("opens"))
+    rows = (lines.filter("NOT is_title AND number BETWEEN 1 AND 300").select("doc", "line_no", "number", F.lit(None).cast("string").alias("key"), F.lit(False).alias("opens"), F.lit(False).alias("title"))
+            .unionByName(opens.select("doc", "line_no", F.lit(None).cast("int").alias("number"), "key", "opens", F.lit(True).alias("title"))))
+    placed = materialise(scan(rows, ["doc"], ["line_no"], dense_chunk("line_no"), {"run": running_count(F.col("opens")), "cand": running_count(F.col("title"))}))
+    numbers = placed.filter("NOT title AND run > 0").groupBy("doc", "run", "number").agg(F.max("cand").alias("seen_in"))
+    heads = placed.filter("title").select("doc", "run", "cand", "line_no", F.col("key").alias("title_key"))
+    # at most 300 numbers meet each title of their run
+    proof = (heads.join(numbers, ["doc", "run"], "left").groupBy("doc", "run", "cand", "line_no", "title_key")
+             .agg(F.min(F.when(F.col("seen_in") >= F.col("cand"), F.col("number"))).alias("low"), F.max(F.when(F.col("seen_in") >= F.col("cand"), F.col("number"))).alias("high"),
+                  F.count_if(F.col("seen_in") >= F.col("cand")).alias("k")))
+    valid = (F.col("k") >= 2) & (F.col("low") == 1) & (F.col("k") >= F.col("high") * min_coverage)
+    runs_ = materialise(proof.groupBy("doc", "run").agg(F.max(F.when(valid, F.struct("cand", "line_no", "title_key", "k"))).alias("best")))
+    per = runs_.groupBy("doc").agg(F.count("best").alias("confirmed"), F.min(F.when(F.col("best").isNotNull(), F.col("run"))).alias("first"),
+                                   F.max(F.when(F.col("best").isNull(), F.col("run"))).alias("open_run"))
+    reason = F.when(F.col("confirmed") < 2, "too_few_titles").when(F.col("open_run") > F.col("first"), "unconfirmed_title")
+    rejected = per.withColumn("reason", reason).filter("reason IS NOT NULL").select("doc", "reason")
+    units = runs_.filter("best IS NOT NULL").join(rejected, "doc", "left_anti").select(
+        "doc", "run", F.col("best.line_no").alias("start_line"), F.col("best.title_key").alias("title_key"), F.col("best.k").alias("numbers"))
+    return units, rejected

@@ -163,3 +163,40 @@ def _(t):
     rec = d.select("doc", F.explode(F.sequence(F.lit(2), F.lit(7))).alias("number")).distinct().withColumn("text", F.concat(F.lit("recovered body "), F.col("number").cast("string")))
     tail = F.when(F.col("number") < 7, F.concat(F.lit("\nrecovered body "), (F.col("number") + 1).cast("string"), F.lit(" more"))).otherwise("\nx")
     return IM.trim_swallowed_tail(d.withColumn("text", F.concat(F.lit("solution "), F.col("number").cast("string"), tail)), rec)
+
+
+@query("titled_units", "W12", """WITH n AS (SELECT DISTINCT l_orderkey AS doc, l_returnflag AS f, l_linenumber AS num FROM lineitem), g AS (SELECT doc, f, count(*) AS k, min(num) AS lo, max(num) AS hi FROM n GROUP BY 1, 2),
+ v AS (SELECT *, k >= 2 AND lo = 1 AND k >= hi * 0.8 AS ok FROM g), d AS (SELECT doc, count_if(ok) AS c, min(CASE WHEN ok THEN f END) AS first, max(CASE WHEN NOT ok THEN f END) AS open FROM v GROUP BY 1)
+ SELECT doc, f AS title_key, k AS numbers FROM v JOIN d USING (doc) WHERE ok AND c >= 2 AND (open IS NULL OR open < first)""")
+def _(t):
+    sec = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    li = t.lineitem.select(F.col("l_orderkey").alias("doc"), (sec * 1000 + 10 + F.col("l_linenumber")).cast("long").alias("line_no"), F.lit(False).alias("is_title"),
+                           F.lit(None).cast("string").alias("key"), F.col("l_linenumber").alias("number")).distinct()
+    ti = t.lineitem.select(F.col("l_orderkey").alias("doc"), (sec * 1000).cast("long").alias("line_no"), F.lit(True).alias("is_title"), F.col("l_returnflag").alias("key"), F.lit(None).cast("int").alias("number")).distinct()
+    twice = ti.withColumn("line_no", F.col("line_no") + 1)
+    return C.titled_units(li.unionByName(ti).unionByName(twice))[0].select("doc", "title_key", "numbers")
+
+
+@query("split_glued_heads", "X34", """SELECT p_partkey AS id, '10. A【答案】' || p_name || chr(10) || chr(10) || '11. B【详解】x' || chr(10) || chr(10) || '12. (1) y 1.13. z' AS text FROM part""")
+def _(t):
+    raw = F.concat(F.lit("10. A【答案】"), "p_name", F.lit("  11. B【详解】x 12. (1) y 1.13. z"))
+    return t.part.select(F.col("p_partkey").alias("id"), PS.split_glued_heads(raw, F.array(F.lit(10), F.lit(11), F.lit(12), F.lit(13))).alias("text"))
+
+
+@query("option_columns", "X27", """SELECT p_partkey AS id, CASE WHEN length(replace(p_name, ' ', '')) + 3 <= 10 THEN 4 WHEN length(replace(p_name, ' ', '')) + 3 <= 28 THEN 2 ELSE 1 END AS cols FROM part""")
+def _(t):
+    opts = F.array(F.lit("A. 1"), F.concat(F.lit("$\\displaystyle B.$ "), "p_name", F.lit("$\\dfrac{123}{4}$")))
+    return t.part.select(F.col("p_partkey").alias("id"), PS.option_columns(opts).alias("cols"))
+
+
+@query("merged_duplicates", "W18", """WITH d AS (SELECT DISTINCT l_orderkey AS doc, l_partkey, l_suppkey FROM lineitem) SELECT doc, CAST(sum(CASE WHEN l_partkey < 10 THEN 3 ELSE 2 END) AS BIGINT) AS blocks FROM d GROUP BY doc""")
+def _(t):
+    from ..plans.segment import merge_duplicate_blocks
+    from ..scale import heavy_chunk, row_number, scan
+    d = t.lineitem.select(F.col("l_orderkey").alias("doc"), "l_partkey", "l_suppkey").distinct()
+    placed = scan(heavy_chunk(d, ["doc"], F.col("l_partkey")), ["doc"], ["l_partkey", "l_suppkey"], F.col("_hc"), {"k": row_number()})
+    long = F.repeat(F.concat(F.lit("由题意可知"), F.col("l_partkey").cast("string"), F.lit("的解法")), F.lit(20))
+    rows = placed.select("doc", "k", F.explode(F.array(*[F.struct(F.lit(i).alias("j"), x.alias("text")) for i, x in enumerate([F.left(long, F.lit(50)), long, F.lit("别的题")])])).alias("b"))
+    blocks = rows.select("doc", ((F.col("k") - 1) * 3 + F.col("b.j")).alias("idx"), F.when(F.col("b.j") < 2, F.col("k") * 2).otherwise(F.col("k") * 2 + 1).cast("int").alias("number"), F.col("b.text").alias("text"),
+                         F.lit("s").alias("section"), F.lit(None).cast("string").alias("group"), F.lit("solution").alias("zone"), F.col("k").alias("line_no"))
+    return merge_duplicate_blocks(blocks).groupBy("doc").agg(F.count("*").alias("blocks"))
