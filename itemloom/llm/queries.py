@@ -2,11 +2,26 @@
 
 from __future__ import annotations
 
-from . import outliers
+from . import frames, outliers, sketches, toxicity
 from .common import read_table
 from .registry import QUERIES, SQL, query  # noqa: F401
 
 
+@query("op2_document_fingerprints")
+def op2(spark, folder):
+    return sketches.neighbours(read_table(spark, folder, "documents"))
+
+
+@query("op6_token_frames")
+def op6(spark, folder):
+    return frames.read_files(frames.write_files(read_table(spark, folder, "documents")))
+
+
+@query("op7_toxicity")
+def op7(spark, folder):
+    return toxicity.toxicity(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
 @query("op9_quality_rules")
 def op9(spark, folder):
     out = outliers.quality(read_table(spark, folder, "documents"))
