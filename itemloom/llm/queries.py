@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import frames, outliers, sketches, toxicity
+from . import frames, outliers, secrets, sketches, toxicity
 from .common import read_table
 from .registry import QUERIES, SQL, query  # noqa: F401
 
 
+@query("op1_secret_scans")
+def op1(spark, folder):
+    return secrets.digest(secrets.scan(read_table(spark, folder, "documents")))
+
+
 @query("op2_document_fingerprints")
 def op2(spark, folder):
     return sketches.neighbours(read_table(spark, folder, "documents"))
