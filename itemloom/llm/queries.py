@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from . import frames, outliers, secrets, sketches, toxicity
+from . import frames, outliers, packing, personal, secret_scan, sketches, toxicity
 from .common import read_table
 from .registry import QUERIES, SQL, query  # noqa: F401
 
 
 @query("op1_secret_scans")
 def op1(spark, folder):
-    return secrets.digest(secrets.scan(read_table(spark, folder, "documents")))
+    return secret_scan.digest(secret_scan.scan(read_table(spark, folder, "documents")))
 
 
 @query("op2_document_fingerprints")
@@ -17,6 +17,16 @@ def op2(spark, folder):
     return sketches.neighbours(read_table(spark, folder, "documents"))
 
 
+@query("op3_personal_data")
+def op3(spark, folder):
+    return personal.digest(personal.scan(read_table(spark, folder, "documents")))
+
+
+@query("op4_best_fit_packing")
+def op4(spark, folder):
+    return packing.packed(read_table(spark, folder, "documents"))
+
+
 @query("op6_token_frames")
 def op6(spark, folder):
     return frames.read_files(frames.write_files(read_table(spark, folder, "documents")))
