@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import frames, outliers, packing, personal, secret_scan, sketches, toxicity
+from . import frames, jaccard, outliers, packing, personal, secret_scan, sketches, toxicity
 from .common import read_table
 from .registry import QUERIES, SQL, query  # noqa: F401
 
@@ -37,6 +37,11 @@ def op7(spark, folder):
     return toxicity.toxicity(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
 
 
+@query("op8_ngram_jaccard")
+def op8(spark, folder):
+    return jaccard.joined(read_table(spark, folder, "documents"))
+
+
 @query("op9_quality_rules")
 def op9(spark, folder):
     out = outliers.quality(read_table(spark, folder, "documents"))
