@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import frames, jaccard, outliers, packing, personal, secret_scan, sketches, toxicity
+from . import frames, jaccard, outliers, packing, personal, secret_scan, sketches, substrings, toxicity
 from .common import read_table
 from .registry import QUERIES, SQL, query  # noqa: F401
 
@@ -27,6 +27,11 @@ def op4(spark, folder):
     return packing.packed(read_table(spark, folder, "documents"))
 
 
+@query("op5_substring_dedup")
+def op5(spark, folder):
+    return substrings.deduplicated(read_table(spark, folder, "documents"), with_text=False).drop("spans")
+
+
 @query("op6_token_frames")
 def op6(spark, folder):
     return frames.read_files(frames.write_files(read_table(spark, folder, "documents")))
