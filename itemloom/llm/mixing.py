@@ -20,8 +20,6 @@ ordered first; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,7 +47,7 @@ def _shares(nodes: DataFrame, level: int) -> DataFrame:
     # a node is used up if the budget left by those before it reaches its own level for all that are left
     used = F.col("have") - F.col("_full") >= F.col("fill") * F.col("_rest")
     out = out.withColumn("_used", used)
-    out = out.withColumn("_level", F.min(F.when(~F.col("_used"), (F.col("have") - F.col("_full")) / F.col("_rest"))).over(ahead.rowsBetween(Window.unboundedPreceding, 0)))
+    out = out.withColumn("_level", F.max(F.when(~F.col("_used"), (F.col("have") - F.col("_full")) / F.col("_rest"))).over(ahead.rowsBetween(Window.unboundedPreceding, 0)))
     share = F.when(F.col("_used"), F.col("supply")).otherwise(F.least(F.col("supply"), F.col("_level") * F.greatest("weight", F.lit(TINY))))
     return out.withColumn("budget", share).drop("fill", "_full", "_rest", "_used", "_level")
 
@@ -72,18 +70,18 @@ def budgets(leaves: DataFrame, depth: int, weights: dict[int, dict[str, float]],
     return leaves.join(have, names).withColumn("budget", F.floor(F.col("have") + 1e-6)).drop("have")
 
 
-def mixed(df: DataFrame, levels: list[Column], weights: dict[int, dict[str, float]], total: Column | None = None, doc_id: str = "doc_id", text: str = "text",
+def mixed(df: DataFrame, levels: list[str], weights: dict[int, dict[str, float]], total: Column | None = None, doc_id: str = "doc_id", text: str = "text",
           epochs: int = EPOCHS, seed: str = SEED, stretches: int = STRETCHES, more: tuple[str, ...] = ()) -> DataFrame:
     """Rows taken: doc_id, levels p0.., epoch, start, n_tokens, take, and ``more`` columns.
 
-    ``start`` is the place in the leaf's stream of tokens; ``take`` (at most n_tokens) is how
+    ``levels`` are SQL expressions over the rows. ``start`` is the place in the leaf's stream of tokens; ``take`` (at most n_tokens) is how
     many of the document's first tokens fall under the leaf's budget.
     """
     depth = len(levels)
     names = [f"p{i}" for i in range(depth)]
     total = F.col("all_tokens") if total is None else total
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), token_count(F.col(text)).alias("n_tokens"), F.xxhash64(text).alias("_tie"),
-                     *[F.coalesce(c.cast("string"), F.lit("")).alias(n) for c, n in zip(levels, names)], *[F.col(c) for c in more])
+                     *[F.coalesce(F.expr(c).cast("string"), F.lit("")).alias(n) for c, n in zip(levels, names)], *[F.col(c) for c in more])
     rows = materialise(rows.filter("n_tokens > 0"))
     leaves = materialise(rows.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"), (F.sum("n_tokens") * epochs).alias("capacity")))
     given = materialise(budgets(leaves, depth, weights, total))
@@ -100,3 +98,8 @@ def mixed(df: DataFrame, levels: list[Column], weights: dict[int, dict[str, floa
     start = F.col("epoch") * F.col("tokens") + F.col("_base") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))
     out = placed.withColumn("start", start).filter(F.col("start") < F.col("budget"))
     return out.select("doc_id", *names, "epoch", "start", "n_tokens", F.least(F.col("n_tokens"), F.col("budget") - F.col("start")).alias("take"), *more)
+
+
+#: Production tree over documents: four domains of sources, languages, sources.
+LEVELS = ["concat('d', pmod(cast(regexp_extract(source, '([0-9]+)$', 1) as int), 4))", "lang", "source"]
+WEIGHTS = {0: {"d0": 0.4, "d1": 0.3, "d2": 0.2, "d3": 0.1}, 1: {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import frames, jaccard, outliers, packing, personal, secret_scan, sketches, substrings, toxicity
+import corpus_pipeline
+
+from . import frames, jaccard, mixing, outliers, packing, personal, secret_scan, sketches, substrings, toxicity
 from .common import read_table
 from .registry import QUERIES, SQL, query  # noqa: F401
 
@@ -51,3 +53,43 @@ def op8(spark, folder):
 def op9(spark, folder):
     out = outliers.quality(read_table(spark, folder, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2")
+
+
+def _level(k):
+    """SQL that divides the budgets of level k - 1 among the nodes of level k."""
+    names = ", ".join(f"p{i}" for i in range(k + 1))
+    parent = f"partition by {', '.join(f'p{i}' for i in range(k))} order by fill, p{k}" if k else f"order by fill, p{k}"
+    join = f"join b{k - 1} using ({', '.join(f'p{i}' for i in range(k))})" if k else "cross join root"
+    weight = f"coalesce(map {{{', '.join(f'{chr(39)}{n}{chr(39)}: {w}' for n, w in mixing.WEIGHTS[k].items())}}}[p{k}], 1.0)" if k in mixing.WEIGHTS else "1.0"
+    return f"""
+n{k} as (select {names}, sum(capacity)::double supply from leaves group by all),
+w{k} as (select *, {weight}::double weight, supply / {weight}::double fill from n{k} {join}),
+f{k} as (select *, coalesce(sum(supply) over ({parent} rows between unbounded preceding and 1 preceding), 0) full_, sum(weight) over ({parent} rows between current row and unbounded following) rest from w{k}),
+u{k} as (select *, have - full_ >= fill * rest used from f{k}),
+l{k} as (select *, max(case when not used then (have - full_) / rest end) over ({parent} rows between unbounded preceding and current row) lev from u{k}),
+b{k} as (select {names}, case when used then supply else least(supply, lev * weight) end have from l{k})"""
+
+
+OP10_SQL = rf"""
+with docs as (
+  select doc_id, 'd' || (cast(regexp_extract(source, '([0-9]+)$', 1) as int) % 4) p0, lang p1, source p2,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint n_tokens from documents),
+leaves as (select p0, p1, p2, sum(n_tokens) tokens, {mixing.EPOCHS} * sum(n_tokens) capacity from docs where n_tokens > 0 group by all),
+root as (select least(sum(tokens)::double, sum(capacity)::double) have from leaves),{_level(0)},{_level(1)},{_level(2)},
+given as (select p0, p1, p2, tokens, floor(have + 1e-6)::bigint budget from leaves join b2 using (p0, p1, p2)),
+dealt as (
+  select doc_id, p0, p1, p2, epoch::int epoch, tokens, budget, n_tokens,
+         (epoch * tokens + coalesce(sum(n_tokens) over (partition by p0, p1, p2, epoch order by md5('{mixing.SEED}:' || epoch || ':' || doc_id), doc_id rows between unbounded preceding and 1 preceding), 0))::bigint start
+  from docs join given using (p0, p1, p2), range({mixing.EPOCHS}) e(epoch) where n_tokens > 0)
+select doc_id, p0, p1, p2, epoch, start, n_tokens, least(n_tokens, budget - start)::bigint take from dealt where start < budget
+"""
+
+
+@query("op10_mixing_weights", OP10_SQL)
+def op10(spark, folder):
+    return mixing.mixed(read_table(spark, folder, "documents"), mixing.LEVELS, mixing.WEIGHTS)
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, folder):
+    return corpus_pipeline.run(spark, folder)
