@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from .arrays import LOWER, Texts, distinct, mixed, shingles, slices, texts_of, words_of
 from .common import documents, materialise
 from .components import components
+from .zipped import unzipped, zipped
 
 SIZE = 3
 PER_CENT = 90
@@ -88,8 +89,8 @@ def profiles(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, k binary, k64 long")
 
 
-def sieved(docs: DataFrame, size: int, per_cent: int, share: float) -> DataFrame:
-    """Short keys (k64) of the classes that may have a link.
+def sieved(docs: DataFrame, classes: DataFrame, size: int, per_cent: int, share: float) -> DataFrame:
+    """The classes (k64, n) that may have a link.
 
     A shingle's rows are cut down to its least and greatest class before the shuffle, and the
     join back to the rows can be split by shingle, so a very common shingle is no hot task.
@@ -111,31 +112,32 @@ def sieved(docs: DataFrame, size: int, per_cent: int, share: float) -> DataFrame
                 rank = np.arange(len(doc)) - np.concatenate(([0], np.cumsum(count)[:-1]))[doc]
                 head = np.flatnonzero((rank < (missable(count, per_cent) + least)[doc]) & new[doc])
                 own = doc[head]
-                yield pa.RecordBatch.from_arrays([pa.array(value[head].view(np.int64)), pa.array(keys[own]), pa.array(least[own].astype(np.int32))], names=["t", "k64", "l"])
+                yield pa.RecordBatch.from_arrays([pa.array(value[head].view(np.int64)), pa.array(keys[own])], names=["t", "k64"])
 
-    heads = docs.mapInArrow(run, "t long, k64 long, l int")
+    heads = docs.mapInArrow(run, "t long, k64 long")
     met = heads.groupBy("t").agg(F.min("k64").alias("a"), F.max("k64").alias("b")).filter("a != b").select("t")
-    return heads.join(met, "t").groupBy("k64", "t").agg(F.max("l").alias("l")).groupBy("k64").agg(F.count("*").alias("c"), F.max("l").alias("l")).filter("c >= l").select("k64")
+    least = F.greatest(F.lit(1), F.ceil(F.col("n") * share))
+    found = heads.join(met, "t").groupBy("k64", "t").agg(F.lit(1)).groupBy("k64").agg(F.count("*").alias("c"))
+    return classes.join(found, "k64").filter(F.col("c") >= least).drop("c")
 
 
 def shared_sets(docs: DataFrame, kept: DataFrame, size: int, per_cent: int) -> DataFrame:
     """k, n, t, f of the kept classes that have a prefix shingle in common with others.
 
-    ``kept`` has doc_id and k; ``t`` holds the shingles that other kept classes have as well,
-    ``f`` the number of classes that have each.
+    ``kept`` has doc_id, k and n; ``t`` holds the shingles that other kept classes have as
+    well, ``f`` the number of classes that have each.
     """
 
     def run(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                doc, value, count = sets_of(texts_of(part.column("text")), size)
-                wanted = np.asarray(part.column("k"), dtype=np.int64)
-                keep = (class_keys(doc, value, count)[:, 0].view(np.int64) == wanted)[doc]  # an id may stand for several texts
-                yield pa.RecordBatch.from_arrays([pa.array(wanted[doc[keep]]), pa.array(count[doc[keep]]), pa.array(value[keep].view(np.int64))], names=["k", "n", "t"])
+        for part, texts in unzipped(batches):
+            doc, value, count = sets_of(texts, size)
+            wanted = np.asarray(part.column("k"), dtype=np.int64)
+            keep = (class_keys(doc, value, count)[:, 0].view(np.int64) == wanted)[doc]  # an id may stand for several texts
+            yield pa.RecordBatch.from_arrays([pa.array(wanted[doc[keep]]), pa.array(value[keep].view(np.int64))], names=["k", "t"])
 
-    rows = docs.join(kept, "doc_id").mapInArrow(run, "k long, n long, t long")
+    rows = zipped(docs).join(kept.select("doc_id", "k"), "doc_id").mapInArrow(run, "k long, t long")
     often = rows.groupBy("t").agg(F.count("*").alias("f")).filter("f > 1")
-    sets = rows.join(often, "t").groupBy("k", "n").agg(F.collect_set(F.struct("f", "t")).alias("s"))
+    sets = rows.join(often, "t").groupBy("k").agg(F.collect_set(F.struct("f", "t")).alias("s")).join(kept.select("k", "n"), "k")
     own = F.col("n") - F.size("s")
     return sets.filter(own < missable_column(per_cent) + 1).select("k", "n", F.col("s.t").alias("t"), F.col("s.f").alias("f"))
 
@@ -244,8 +246,8 @@ def joined(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     """doc_id, n_shingles, component_id (least doc_id reachable by links) of every document."""
     docs = documents(df, doc_id, text)
     info = materialise(profiles(docs, size))
-    classes = info.filter("n > 0").groupBy("k").agg(F.min("doc_id").alias("rep"), F.max("k64").alias("k64"))
-    kept = classes.join(sieved(docs, size, per_cent, share), "k64").filter("rep is not null").select(F.col("rep").alias("doc_id"), F.col("k64").alias("k"))
+    classes = info.filter("n > 0").groupBy("k").agg(F.min("doc_id").alias("rep"), F.max("k64").alias("k64"), F.max("n").alias("n"))
+    kept = materialise(sieved(docs, classes, size, per_cent, share).filter("rep is not null").select(F.col("rep").alias("doc_id"), F.col("k64").alias("k"), "n"))
     sets = materialise(shared_sets(docs, kept, size, per_cent))
     groups = components(ties(sets, per_cent))
     found = components(materialise(links(sets, groups, per_cent)))

@@ -27,12 +27,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import Texts, mixed, slices, texts_of, windows, words_of
+from .arrays import Texts, mixed, windows, words_of
 from .common import documents
+from .zipped import unzipped, zipped
 
 WINDOW = 20
 GRAM = 8
@@ -40,34 +40,8 @@ ROW = 40  # bits of a start inside rows that share an id
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """doc_id, rn (number of the row among those of its id) and the zipped text."""
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                zipper = zstandard.ZstdCompressor(level=1)
-                texts = texts_of(part.column("text"))
-                raw, o = texts.data, texts.offsets
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([zipper.compress(raw[a:b].tobytes()) for a, b in zip(o[:-1], o[1:])], pa.binary()),
-                                                  pa.array(np.diff(o))], names=["doc_id", "z", "size"])
-
-    rows = docs.mapInArrow(run, "doc_id long, z binary, size long")
-    return rows.withColumn("rn", F.row_number().over(Window.partitionBy("doc_id").orderBy("z")) - 1)
-
-
-def _batches(batches, limit: int = 2 << 20):
-    """Parts of batches with their texts unpacked, a few megabytes at a time."""
-    unzip = zstandard.ZstdDecompressor()
-    for batch in batches:
-        sizes = np.asarray(batch.column("size"), dtype=np.int64) + 1
-        group = np.cumsum(sizes) // limit
-        cuts = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [len(group)]))
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            if b > a:
-                part = batch.slice(a, b - a)
-                raw = [unzip.decompress(z, max_output_size=max(1, n)) if n else b"" for z, n in zip(part.column("z").to_pylist(), part.column("size").to_pylist())]
-                offsets = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
-                yield part, Texts(np.frombuffer(b"".join(raw), dtype=np.uint8), offsets)
+    """doc_id, rn (number of the row among those of its id), the zipped text and its size."""
+    return zipped(docs).withColumn("rn", F.row_number().over(Window.partitionBy("doc_id").orderBy("z")) - 1)
 
 
 def graph(texts: Texts, window: int = WINDOW, gram: int = GRAM):
@@ -97,7 +71,7 @@ def _anchors(rows: DataFrame, window: int, gram: int) -> DataFrame:
     """doc_id and the anchors (rn, h) of its windows that occur more than once in the corpus."""
 
     def run(batches):
-        for part, texts in _batches(batches):
+        for part, texts in unzipped(batches):
             words, at, edge, _, anchor = graph(texts, window, gram)
             doc = words.doc[at]
             order = np.lexsort((edge, doc))
@@ -119,7 +93,7 @@ def _edges(rows: DataFrame, anchors: DataFrame, window: int, gram: int) -> DataF
     """e1, e2, doc_id, at of every window whose anchor repeats; at holds the row number above ROW bits."""
 
     def run(batches):
-        for part, texts in _batches(batches):
+        for part, texts in unzipped(batches):
             words, at, edge, second, anchor = graph(texts, window, gram)
             doc = words.doc[at]
             rns = np.asarray(part.column("rn"), dtype=np.int64)
@@ -177,7 +151,7 @@ def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wind
 
     def run(batches):
         low = (1 << ROW) - 1
-        for part, texts in _batches(batches):
+        for part, texts in unzipped(batches):
             words = words_of(texts)
             rns, met = np.asarray(part.column("rn"), dtype=np.int64), part.column("met")
             removed, sums, kept, spans = [], [], [], []
