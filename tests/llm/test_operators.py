@@ -81,8 +81,10 @@ def secret_texts():
 
 def test_secret_base_spans_and_added_ones(spark):
     plain = "w1 w2 credential='4fA7c0D19e62bBcE5a08f3x1' w5 w3"
-    texts = secret_texts() + ODD + ["ſecret = abcdefghijklmnop", "secret==" + "a=" * 9, "é " * 40 + "0123456789abcdef0"] + [plain]
-    got = {r.doc_id: r for r in secret_scan.digest(secret_scan.scan(table(spark, texts))).collect()}
+    texts = secret_texts() + ODD + ["ſecret = abcdefghijklmnop", "secret==" + "a=" * 9, "é " * 40 + "0123456789abcdef0"]
+    field = secret_scan.train(secret_scan.documents(table(spark, texts)))
+    texts.append(plain)  # not among the texts that the field learnt from
+    got = {r.doc_id: r for r in secret_scan.digest(secret_scan.find(secret_scan.documents(table(spark, texts)), field)).collect()}
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
         want = brute_secrets(t or "")
