@@ -55,12 +55,16 @@ def test_split_solution(spark):
 
 
 def test_option_rules(spark):
-    assert C.quartet("题（ ）\nA. 1 B. 2 C. 3 D. 4") is not None
-    assert C.quartet("集合 A. x（ ）A. 1 B. 2 C. 3") is None
-    assert C.quartet("A. 1 B. 2 C. D. 4") is None
-    assert C.quartet("（ ）(A) 1 (B) 2 (C) 3 (D) 4") is not None
-    assert C._scan_line("A. B. -1013C． 3 D.") == ("AD", 4)
-    assert C._scan_line("若 C. 在 B. 之外 A. x") == ("", 3)
+    texts = {"题（ ）\nA. 1 B. 2 C. 3 D. 4": True, "集合 A. x（ ）A. 1 B. 2 C. 3": False, "A. 1 B. 2 C. D. 4": False, "（ ）(A) 1 (B) 2 (C) 3 (D) 4": True, "": False}
+    rows = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string").select("t", C.inspect_choices("t").alias("c")).collect()
+    assert {r.t: r.c.complete for r in rows if r.t is not None} == texts
+    assert [r.c.options for r in rows if r.t and r.t.startswith("题")] == [["1", "2", "3", "4"]]
+    bare = "（ ）" + "".join(f"$\\displaystyle {c}$ {k} " for k, c in enumerate("ABCD"))
+    plain = bare[3:]
+    known = {r.t: (r.c.complete, r.c.complete_known) for r in spark.createDataFrame([(bare,), (plain,)], "t string").select("t", C.inspect_choices("t").alias("c")).collect()}
+    assert known == {bare: (True, True), plain: (False, True)}
+    lines = spark.createDataFrame([("A. B. -1013C． 3 D.",), ("若 C. 在 B. 之外 A. x",), ("A. 1 B. 2 C. 3",)], "text string")
+    assert [(r.text, r.empty, r.total) for r in C.empty_options(lines).collect()] == [("A. B. -1013C． 3 D.", "AD", 4)]
 
 
 def test_natural_order(spark):
