@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 U = np.uint64
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -33,7 +33,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def _powers_of(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     steps = np.full(size, base, dtype=np.uint64)
     back = np.full(size, pow(base, -1, 1 << 64), dtype=np.uint64)
@@ -42,7 +42,7 @@ def _powers_of(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, int(n).bit_length())
+    size = 1 << max(16, int(n - 1).bit_length())
     return _powers_of(base, size)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from itemloom.session import materialise, shared_folder
 
-__all__ = ["documents", "materialise", "shared_folder", "partitions", "cut_points", "bucket_of", "sha256", "read_table", "spread"]
+__all__ = ["documents", "materialise", "shared_folder", "partitions", "cut_points", "bucket_of", "settled", "sha256", "read_table", "spread"]
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 GAP = "[\\x20\\x09-\\x0D]+"
@@ -52,5 +53,14 @@ def bucket_of(column: Column, cuts: list[int]) -> Column:
     return F.when(column.isNull(), F.lit(0)).otherwise(F.size(F.filter(edges, lambda c: c <= column))).cast("int")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``materialise``, then let the finished job go, so that Spark's cleaner removes its shuffle files."""
+    out = materialise(df)
+    del df
+    gc.collect()
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def sha256(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "replace")).hexdigest()

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, Texts, distinct, mixed, shingles, slices, texts_of, words_of
-from .common import documents, materialise
+from .common import documents, materialise, settled
 from .components import components
 from .zipped import unzipped, zipped
 
@@ -247,8 +247,8 @@ def joined(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     docs = documents(df, doc_id, text)
     info = materialise(profiles(docs, size))
     classes = info.filter("n > 0").groupBy("k").agg(F.min("doc_id").alias("rep"), F.max("k64").alias("k64"), F.max("n").alias("n"))
-    kept = materialise(sieved(docs, classes, size, per_cent, share).filter("rep is not null").select(F.col("rep").alias("doc_id"), F.col("k64").alias("k"), "n"))
-    sets = materialise(shared_sets(docs, kept, size, per_cent))
+    kept = settled(sieved(docs, classes, size, per_cent, share).filter("rep is not null").select(F.col("rep").alias("doc_id"), F.col("k64").alias("k"), "n"))
+    sets = settled(shared_sets(docs, kept, size, per_cent))
     groups = components(ties(sets, per_cent))
     found = components(materialise(links(sets, groups, per_cent)))
     named = classes.join(found.withColumnRenamed("node", "k64"), "k64", "left").withColumn("label", F.coalesce("label", "k64")).select("k", "label", "rep")
