@@ -3,10 +3,11 @@
 Every window of ``WINDOW`` words is an edge of a De Bruijn graph: it leads from the node of its
 first words to the node of its last ones. Three steps keep the graph to what can repeat:
 
-1. Anchors. A window's anchor is the least hash of its ``GRAM``-word runs. Equal windows have
-   equal anchors, so only anchors seen more than once can stand for repeated edges. A document
-   sends each of its anchors once; one it repeats inside itself counts twice.
-2. Edges. Windows with a repeated anchor become rows (96-bit edge hash, document, start). A
+1. Anchors. A window's anchors are the least of its ``GRAM``-word runs under two hash orders.
+   Equal windows have equal anchors, so only anchors seen more than once can stand for
+   repeated edges. A document sends each of its anchors once; one of a window that it repeats
+   inside itself counts twice.
+2. Edges. Windows whose anchors both repeat become rows (96-bit edge hash, document, start). A
    grouping finds each edge's first source coordinate, a join gives it to all occurrences.
 3. Paths. Occurrences in a row whose first coordinates run in a row too have no branch between
    them and become one span with one source. Spans that meet cover words together.
@@ -31,11 +32,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import Texts, mixed, windows, words_of
-from .common import documents
+from .common import documents, settled
 from .zipped import unzipped, zipped
 
 WINDOW = 20
 GRAM = 8
+ORDERS = (0x1D8E4E27C47D124F, 0xEB44ACCAB455D165)  # of the runs, one anchor from each
 ROW = 40  # bits of a start inside rows that share an id
 
 
@@ -45,26 +47,27 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 
 def graph(texts: Texts, window: int = WINDOW, gram: int = GRAM):
-    """Words, and for every window: its first word's index, two edge hashes, its anchor."""
+    """Words, and for every window: its first word's index, two edge hashes, its anchors."""
     words = words_of(texts)
     one = words.hashes(which=0)
     edge, at = windows(one, words, window)
     if not len(at):
-        return words, at, edge, edge, edge
+        return words, at, edge, edge, (edge, edge)
     second, _ = windows(words.hashes(which=1), words, window, 0xB5297A4D3F84D5B5)
     run = np.zeros(len(one) - gram + 1, dtype=np.uint64)
     for k in range(gram):
         run *= np.uint64(0x9FB21C651E98DF25)
         run += one[k:k + len(run)]
-    run = mixed(run)
-    least, span = run, 1
-    need = window - gram + 1
-    while 2 * span <= need:
-        least = np.minimum(least[:-span], least[span:])
-        span *= 2
-    if need > span:
-        least = np.minimum(least[:len(least) - (need - span)], least[need - span:])
-    return words, at, edge, second, least[at]
+    need, anchors = window - gram + 1, []
+    for salt in ORDERS:
+        least, span = mixed(run ^ np.uint64(salt)), 1
+        while 2 * span <= need:
+            least = np.minimum(least[:-span], least[span:])
+            span *= 2
+        if need > span:
+            least = np.minimum(least[:len(least) - (need - span)], least[need - span:])
+        anchors.append(least[at])
+    return words, at, edge, second, anchors
 
 
 def _anchors(rows: DataFrame, window: int, gram: int) -> DataFrame:
@@ -72,12 +75,13 @@ def _anchors(rows: DataFrame, window: int, gram: int) -> DataFrame:
 
     def run(batches):
         for part, texts in unzipped(batches):
-            words, at, edge, _, anchor = graph(texts, window, gram)
+            words, at, edge, _, anchors = graph(texts, window, gram)
             doc = words.doc[at]
             order = np.lexsort((edge, doc))
             same = (edge[order][1:] == edge[order][:-1]) & (doc[order][1:] == doc[order][:-1])
             inside = np.zeros(len(at), dtype=np.int32)
             inside[order[1:][same]] = 1
+            anchor, doc, inside = np.concatenate(anchors), np.tile(doc, len(anchors)), np.tile(inside, len(anchors))
             pick = np.lexsort((-inside, anchor, doc))
             d, h, c = doc[pick], anchor[pick], inside[pick]
             first = np.concatenate(([True], (d[1:] != d[:-1]) | (h[1:] != h[:-1]))) if len(d) else np.zeros(0, bool)
@@ -90,11 +94,11 @@ def _anchors(rows: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def _edges(rows: DataFrame, anchors: DataFrame, window: int, gram: int) -> DataFrame:
-    """e1, e2, doc_id, at of every window whose anchor repeats; at holds the row number above ROW bits."""
+    """e1, e2, doc_id, at of every window whose anchors repeat; at holds the row number above ROW bits."""
 
     def run(batches):
         for part, texts in unzipped(batches):
-            words, at, edge, second, anchor = graph(texts, window, gram)
+            words, at, edge, second, anchors = graph(texts, window, gram)
             doc = words.doc[at]
             rns = np.asarray(part.column("rn"), dtype=np.int64)
             lists = part.column("anchors")
@@ -104,7 +108,7 @@ def _edges(rows: DataFrame, anchors: DataFrame, window: int, gram: int) -> DataF
                 if cut[i + 1] > cut[i]:
                     own = lists[i].values
                     h = np.asarray(own.field("h"), dtype=np.int64)[np.asarray(own.field("rn")) == rns[i]]
-                    keep[cut[i]:cut[i + 1]] = np.isin(anchor[cut[i]:cut[i + 1]].view(np.int64), h)
+                    keep[cut[i]:cut[i + 1]] = np.logical_and.reduce([np.isin(x[cut[i]:cut[i + 1]].view(np.int64), h) for x in anchors])
             k = np.flatnonzero(keep)
             own = doc[k]
             start = (at[k] - words.first[own]) | (rns[own] << ROW)
@@ -116,7 +120,7 @@ def _edges(rows: DataFrame, anchors: DataFrame, window: int, gram: int) -> DataF
 
 def occurrences(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, at, source_doc, source_at of every window that starts earlier too."""
-    edges = _edges(rows, _anchors(rows, window, gram), window, gram)
+    edges = _edges(rows, settled(_anchors(rows, window, gram)), window, gram)
     first = edges.groupBy("e1", "e2").agg(F.min(F.struct("doc_id", "at")).alias("s"), F.count("*").alias("n")).filter("n > 1")
     return (edges.join(first, ["e1", "e2"]).filter((F.col("doc_id") != F.col("s.doc_id")) | (F.col("at") != F.col("s.at")))
             .select("doc_id", "at", F.col("s.doc_id").alias("source_doc"), F.col("s.at").alias("source_at")))
@@ -145,7 +149,7 @@ def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wind
     """
     rows = _packed(documents(df, doc_id, text))
     # positions of one document, never more than it has words
-    found = occurrences(rows, window, gram).groupBy("doc_id").agg(F.collect_list(F.struct("at", "source_doc", "source_at")).alias("met"))
+    found = settled(occurrences(rows, window, gram)).groupBy("doc_id").agg(F.collect_list(F.struct("at", "source_doc", "source_at")).alias("met"))
     kinds = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("source_doc", pa.int64()), ("source_start", pa.int64())]))
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", "spans", *["kept"] * with_text]
 
