@@ -80,9 +80,8 @@ def features(texts: Texts, wanted: np.ndarray | None = None) -> tuple[np.ndarray
     return pair >> (BITS + 1), pair & ((2 << BITS) - 1)
 
 
-def train(rows: list[np.ndarray], positive: np.ndarray, prior: float, max_features: int = MAX_FEATURES,
-          epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
-    """Features, weights and bias from the features of each example."""
+def train(rows: list[np.ndarray], positive: np.ndarray, prior: float, chosen: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
+    """Chosen features, their weights and the bias, from the chosen features of each example."""
     sizes = np.array([len(r) for r in rows], dtype=np.int64)
     flat = np.concatenate(rows).astype(np.int64) if len(rows) else np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(rows)), sizes)
@@ -90,12 +89,7 @@ def train(rows: list[np.ndarray], positive: np.ndarray, prior: float, max_featur
     n_p, n_u = int(is_p.sum()), int((~is_p).sum())
     if not n_p or not n_u:
         return np.zeros(0, np.int64), np.zeros(0), -np.inf
-    in_p = np.bincount(flat[is_p[owner]], minlength=2 << BITS)
-    in_u = np.bincount(flat[~is_p[owner]], minlength=2 << BITS)
-    p, u = in_p / n_p, in_u / n_u
-    gain = np.where(in_p >= LEAST_SEEN, np.abs(p - u) / np.sqrt(u + 1.0 / n_u), 0)
-    order = np.argsort(-gain, kind="stable")[:max_features]
-    chosen = np.sort(order[gain[order] > 0])
+    chosen = np.sort(chosen)
     at = np.full(2 << BITS, -1, dtype=np.int64)
     at[chosen] = np.arange(len(chosen))
     col = at[flat]
@@ -130,7 +124,7 @@ def model(docs: DataFrame, labels: DataFrame, trains: Column | None = None, max_
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").na.drop().groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(trains)
     count, toxic = known.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)), F.lit(0))).first()
     if not toxic:
-        return train([], np.zeros(0), 0.5)
+        return train([], np.zeros(0), 0.5, np.zeros(0, np.int64))
     prior = min(max(prior if prior is not None else toxic / count, 1e-4), 0.5)
     may = docs.filter(trains & F.col("doc_id").isNotNull())
     total = may.count()
@@ -139,18 +133,51 @@ def model(docs: DataFrame, labels: DataFrame, trains: Column | None = None, max_
     positive = may.join(F.broadcast(ids), "doc_id").select("doc_id", "text", F.lit(1).alias("p"))
     unlabelled = may.filter(_chosen(1.2 * max_unlabelled / max(1, total))).select("doc_id", "text", F.lit(0).alias("p"))
 
+    both = positive.unionByName(unlabelled)
+    chosen = _choose(both, max_features)
+
     def run(batches):
+        wanted = np.zeros(2 << BITS, dtype=bool)
+        wanted[chosen] = True
         for batch in batches:
             for part in slices(batch, "text"):
-                doc, value = features(texts_of(part.column("text")))
+                doc, value = features(texts_of(part.column("text")), wanted)
                 cut = np.searchsorted(doc, np.arange(part.num_rows + 1))
                 packed = [value[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:])]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("p"), pa.array(packed, pa.binary())], names=["doc_id", "p", "f"])
 
-    found = positive.unionByName(unlabelled).mapInArrow(run, "doc_id long, p int, f binary").toPandas()
-    parts = [found[found.p == p].sort_values("doc_id", kind="stable").iloc[:most] for p, most in ((1, max_positive), (0, max_unlabelled))]
+    found = both.mapInArrow(run, "doc_id long, p int, f binary").toPandas()
+    parts = [found[found.p == p].sort_values(["doc_id", "f"], kind="stable").iloc[:most] for p, most in ((1, max_positive), (0, max_unlabelled))]
     rows = [np.frombuffer(f, dtype=np.int32) for part in parts for f in part.f]
-    return train(rows, np.repeat([1, 0], [len(p) for p in parts]), prior, max_features)
+    return train(rows, np.repeat([1, 0], [len(p) for p in parts]), prior, chosen)
+
+
+def _choose(examples: DataFrame, most: int) -> np.ndarray:
+    """The features whose share among positives differs most from that among unlabelled texts.
+
+    Tasks send counts, the least that is needed of each feature; only ``most`` features reach
+    the driver.
+    """
+
+    def run(batches):
+        counts = np.zeros((2, 2 << BITS), dtype=np.int32)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                doc, value = features(texts_of(part.column("text")))
+                p = np.asarray(part.column("p"), dtype=np.int64)[doc]
+                for k in (0, 1):
+                    counts[k] += np.bincount(value[p == k], minlength=2 << BITS).astype(np.int32)
+        seen = np.flatnonzero(counts.any(axis=0))
+        for a in range(0, len(seen), 100_000):
+            f = seen[a:a + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(counts[1, f].astype(np.int64)), pa.array(counts[0, f].astype(np.int64))], names=["f", "p", "u"])
+
+    n_p, n_u = examples.agg(F.coalesce(F.sum("p"), F.lit(0)), F.coalesce(F.sum(1 - F.col("p")), F.lit(0))).first()
+    if not n_p or not n_u:
+        return np.zeros(0, np.int64)
+    counted = examples.mapInArrow(run, "f long, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).filter(F.col("p") >= LEAST_SEEN)
+    gain = F.abs(F.col("p") / n_p - F.col("u") / n_u) / F.sqrt(F.col("u") / n_u + 1.0 / n_u)
+    return np.array([r.f for r in counted.orderBy(gain.desc(), "f").limit(most).select("f").collect()], dtype=np.int64)
 
 
 def scores(docs: DataFrame, fitted, more: tuple[str, ...] = ()) -> DataFrame:
