@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 HEAD = r"(?U)^\s*#{1,6}\s*"
 STARS = r"(?U)^[★☆]+\s*"
 CN_DIGITS = "零一二三四五六七八九"
+CN_VARIANTS = ("两〇壹贰叁肆伍陆柒捌玖拾佰", "二零一二三四五六七八九十百")  # fixed values
 CN_CLASS = "[一二三四五六七八九十百零]+"
 SECTION_LINE = r"(?U)^(?:第\s*)?([一二三四五六七八九十]+)\s*[、．.]\s*(.*)$"
 SECTION_WORDS = r"(选择题|多选|单选|填空题|实验题|解答题|计算题|证明题|应用题|本题共|本大题|部分)"
@@ -75,12 +76,13 @@ def arabic(digits: Column) -> Column:
 
 
 def chinese_number(text: Column) -> Column:
-    """Integer of a Chinese numeral below one hundred, or of a plain digit string."""
-    digit = F.translate(text, CN_DIGITS, "0123456789")
-    left, right = F.substring_index(digit, "十", 1), F.regexp_replace(digit, "^[^十]*十", "")
-    tens = F.when(left.rlike("^[0-9]$"), left.cast("int")).otherwise(1)
-    ones = F.when(right.rlike("^[0-9]$"), right.cast("int")).otherwise(0)
-    return F.when(F.contains(text, F.lit("十")), tens * 10 + ones).when(digit.rlike("^[0-9]+$"), digit.try_cast("int"))
+    """Integer of a Chinese numeral from 1 to 999 (units, or digits in a row), or of a plain digit string."""
+    digit = F.translate(F.translate(text, CN_VARIANTS[0], CN_VARIANTS[1]), CN_DIGITS, "0123456789")
+    hundreds = F.when(F.contains(digit, F.lit("百")), F.coalesce(F.regexp_extract(digit, "([1-9])百", 1).try_cast("int"), F.lit(1))).otherwise(0)
+    tens = F.when(F.contains(digit, F.lit("十")), F.coalesce(F.regexp_extract(digit, "([1-9])十", 1).try_cast("int"), F.lit(1))).otherwise(0)
+    ones = F.coalesce(F.regexp_extract(digit, "([0-9])$", 1).try_cast("int"), F.lit(0))
+    units = digit.rlike("^[0-9]?百?0?[0-9]?十?[0-9]?$") & digit.rlike("[百十]")
+    return F.when(units, hundreds * 100 + tens * 10 + ones).when(digit.rlike("^[0-9]+$"), digit.try_cast("int"))
 
 
 def number_of(body: Column, style: Style = DOT, loose: bool = False) -> Column:

@@ -5,13 +5,10 @@ Boxes are on one 0 to 1000 scale per page.
 
 from __future__ import annotations
 
-import itertools
-import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..scale import last_seen, lag, lead, scan
 from ..session import materialise
@@ -202,120 +199,132 @@ ASSIGNED = "doc {doc}, item {item}, label string, figure string"
 SIZE_RATIO, AREA_RATIO = 1.35, 1.65  # fixed values
 ACCEPT_MEAN, CENTER_WEIGHT, SPAN_X, SPAN_Y = 235.0, 0.16, 950.0, 650.0  # fixed values
 ASPECT_WEIGHT, AREA_WEIGHT, NEAREST = 55.0, 35.0, 3  # fixed values
+ITEM = ["doc", "item"]
 
 
-def _rows_of(boxes, tolerance):
-    """Boxes clustered into lines: a box joins a line within ``tolerance`` of its mean centre."""
-    rows = []
-    for box in sorted(boxes, key=lambda b: (b["y0"] + b["y1"]) / 2):
-        cy = (box["y0"] + box["y1"]) / 2
-        if rows and abs(cy - sum((b["y0"] + b["y1"]) / 2 for b in rows[-1]) / len(rows[-1])) <= tolerance:
-            rows[-1].append(box)
-        else:
-            rows.append([box])
-    return [sorted(r, key=lambda b: (b["x0"] + b["x1"]) / 2) for r in rows]
-
-
-def _regular_grid(boxes):
-    """Reading order of four boxes of one size in a 1x4, 2x2 or 4x1 grid, else None."""
-    w, h = [b["x1"] - b["x0"] for b in boxes], [b["y1"] - b["y0"] for b in boxes]
-    area = [a * b for a, b in zip(w, h)]
-    if len({b["page"] for b in boxes}) != 1 or min(w) <= 0 or min(h) <= 0:
-        return None
-    if max(w) / min(w) > SIZE_RATIO or max(h) / min(h) > SIZE_RATIO or max(area) / min(area) > AREA_RATIO:
-        return None
-    mw, mh = sorted(w)[2], sorted(h)[2]
-    rows = _rows_of(boxes, max(20.0, 0.35 * mh))
-    cx = lambda b: (b["x0"] + b["x1"]) / 2
-    cy = lambda b: (b["y0"] + b["y1"]) / 2
-    column = max(25.0, 0.45 * mw)
-    shape = [len(r) for r in rows]
-    if shape == [4]:
-        fine = max(map(cy, boxes)) - min(map(cy, boxes)) <= max(20.0, 0.35 * mh)
-    elif shape == [2, 2]:
-        fine = all(abs(cx(a) - cx(b)) <= column for a, b in zip(*rows))
-    else:
-        fine = shape == [1, 1, 1, 1] and max(map(cx, boxes)) - min(map(cx, boxes)) <= column
-    return [b for r in rows for b in r] if fine else None
-
-
-def _unique_grid(boxes):
-    """The only four of the boxes that form a regular grid."""
-    found = {}
-    for four in itertools.combinations(boxes, 4):
-        order = _regular_grid(list(four))
-        if order:
-            found[frozenset(b["figure"] for b in order)] = order
-    return next(iter(found.values())) if len(found) == 1 else None
-
-
-def _cheapest(boxes, anchors):
-    """Figures for A to D with the least total distance to their printed labels."""
-    best = (math.inf, None)
-    for page in sorted({b["page"] for b in boxes}):
-        here = [b for b in boxes if b["page"] == page]
-        if len(here) < 4:
+def _shaped(figures: DataFrame) -> DataFrame:
+    """Figures as structs with centre, size and logarithms of aspect and area."""
+    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    return figures.select(*ITEM, F.struct(
+        "figure", "page", "x0", "y0", "x1", "y1", w.alias("w"), h.alias("h"), ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"),
+        F.when((w > 0) & (h > 0), F.log(w / h)).alias("aspect"), F.when((w > 0) & (h > 0), F.log(w * h)).alias("area")).alias("b"))
+
+
+def _lined(boxes: Column, tolerance: Column) -> Column:
+    """Boxes in reading order, each with the line it stands in.
+
+    Going down the page a box joins the line above if its centre is within the tolerance of
+    that line's mean centre, else it begins a line.
+    """
+    down = F.array_sort(F.transform(boxes, lambda b: F.struct(b["cy"].alias("cy"), b["figure"].alias("figure"), b.alias("b"))))
+    empty = F.struct(F.lit(-1).alias("line"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.filter(F.transform(down, lambda d: F.struct(F.lit(0).alias("line"), d["b"]["cx"].alias("cx"), d["figure"].alias("figure"), d["b"].alias("b"))), lambda d: F.lit(False)).alias("done"))
+
+    def place(state, d):
+        same = (state["n"] > 0) & (F.abs(d["cy"] - state["sum"] / F.greatest(state["n"], F.lit(1))) <= tolerance)
+        line = F.when(same, state["line"]).otherwise(state["line"] + 1)
+        row = F.struct(line.alias("line"), d["b"]["cx"].alias("cx"), d["figure"].alias("figure"), d["b"].alias("b"))
+        return F.struct(line.alias("line"), (F.when(same, state["sum"]).otherwise(F.lit(0.0)) + d["cy"]).alias("sum"), (F.when(same, state["n"]).otherwise(F.lit(0)) + 1).alias("n"), F.concat(state["done"], F.array(row)).alias("done"))
+
+    return F.array_sort(F.aggregate(down, empty, place, lambda s: s["done"]))
+
+
+def _letters(picked: DataFrame) -> DataFrame:
+    return picked.select(*ITEM, F.posexplode("four").alias("k", "figure")).select(*ITEM, F.char(F.col("k") + 65).alias("label"), "figure")
+
+
+def _reading_order(figures: DataFrame) -> DataFrame:
+    """Items with exactly four figures, on one page: labels follow reading order."""
+    four = (figures.groupBy(*ITEM).agg(F.count("*").alias("n"), F.count_distinct("b.page").alias("pages")).filter("n = 4 AND pages = 1").select(*ITEM))
+    per = figures.join(four, ITEM, "left_semi").groupBy(*ITEM).agg(F.collect_list("b").alias("boxes"))
+    heights = F.array_sort(F.transform("boxes", lambda b: b["h"]))
+    tolerance = F.greatest(F.lit(20.0), (heights[1] + heights[2]) * 0.225)
+    return _letters(per.select(*ITEM, F.transform(_lined(F.col("boxes"), tolerance), lambda r: r["figure"]).alias("four")))
+
+
+def _grids(figures: DataFrame) -> DataFrame:
+    """Every four figures of an item that form a regular grid, in reading order.
+
+    Figures are joined one by one; two figures of one grid differ little in size, so most
+    pairs end at the first join.
+    """
+    good = figures.filter("b.w > 0 AND b.h > 0")
+
+    def alike(x, y):
+        ratio = lambda a, b: F.greatest(a, b) / F.least(a, b)
+        return ((x["page"] == y["page"]) & (x["figure"] < y["figure"]) & (ratio(x["w"], y["w"]) <= SIZE_RATIO) & (ratio(x["h"], y["h"]) <= SIZE_RATIO)
+                & (ratio(x["w"] * x["h"], y["w"] * y["h"]) <= AREA_RATIO))
+
+    rows = good.withColumnRenamed("b", "b0")
+    for k in (1, 2, 3):
+        rows = rows.join(good.withColumnRenamed("b", f"b{k}"), ITEM).filter(alike(F.col(f"b{k - 1}"), F.col(f"b{k}")))
+        for j in range(k - 1):
+            rows = rows.filter(alike(F.col(f"b{j}"), F.col(f"b{k}")))
+    rows = rows.select(*ITEM, F.array("b0", "b1", "b2", "b3").alias("boxes"))
+    third = lambda name: F.array_sort(F.transform("boxes", lambda b: b[name]))[2]
+    rows = rows.withColumn("mw", third("w")).withColumn("mh", third("h")).withColumn("high", F.greatest(F.lit(20.0), 0.35 * F.col("mh"))).withColumn("wide", F.greatest(F.lit(25.0), 0.45 * F.col("mw")))
+    rows = rows.withColumn("r", _lined(F.col("boxes"), F.col("high")))
+    lines = F.array_join(F.transform("r", lambda x: x["line"].cast("string")), "")
+    spread = lambda name: F.array_max(F.transform("boxes", lambda b: b[name])) - F.array_min(F.transform("boxes", lambda b: b[name]))
+    x = lambda i: F.col("r")[i]["cx"]
+    fine = (F.when(lines == "0000", spread("cy") <= F.col("high"))
+            .when(lines == "0011", (F.abs(x(0) - x(2)) <= F.col("wide")) & (F.abs(x(1) - x(3)) <= F.col("wide")))
+            .when(lines == "0123", spread("cx") <= F.col("wide")).otherwise(False))
+    return rows.filter(fine).select(*ITEM, F.transform("r", lambda v: v["figure"]).alias("four"))
+
+
+def _unique_grid(figures: DataFrame) -> DataFrame:
+    """Items with one regular grid of four among their figures, and no second one."""
+    found = _grids(figures).groupBy(*ITEM).agg(F.count("*").alias("n"), F.first("four").alias("four"))
+    return _letters(found.filter("n = 1"))
+
+
+def _least_cost(figures: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Figures for A to D with the least total distance to their printed labels.
+
+    A label's printed places on a page are cut to the ``NEAREST`` to the middle of its
+    figures. Each place and figure is a candidate with its cost; the four letters are joined
+    in turn. No part of an accepted whole costs more than the whole may, so what exceeds
+    that on the way is dropped without loss.
+    """
+    most = 4 * ACCEPT_MEAN
+    page = figures.groupBy(*ITEM, F.col("b.page").alias("page")).agg(F.count("*").alias("n"), F.avg("b.cx").alias("mx"), F.avg("b.cy").alias("my")).filter("n >= 4").drop("n")
+    near = Window.partitionBy(*ITEM, "page", "label").orderBy("far", "x", "y")
+    marks = (anchors.join(page, [*ITEM, "page"]).withColumn("far", F.hypot(F.col("x") - F.col("mx"), F.col("y") - F.col("my")))
+             .withColumn("k", F.row_number().over(near)).filter(F.col("k") <= NEAREST).select(*ITEM, "page", "label", "x", "y"))
+    dx = F.greatest(F.col("b.x0") - F.col("x"), F.lit(0.0), F.col("x") - F.col("b.x1"))
+    dy = F.greatest(F.col("b.y0") - F.col("y"), F.lit(0.0), F.col("y") - F.col("b.y1"))
+    cost = F.hypot(dx, dy) + CENTER_WEIGHT * F.hypot(F.col("x") - F.col("b.cx"), F.col("y") - F.col("b.cy"))
+    options = marks.join(figures.withColumn("page", F.col("b.page")), [*ITEM, "page"]).withColumn("cost", cost).filter(F.col("cost") <= most)
+    # of several places of a label the choice also depends on the span, so all are kept
+    whole = None
+    for letter in "ABCD":
+        one = options.filter(F.col("label") == letter).select(*ITEM, "page", F.struct("x", "y", "b", "cost").alias(letter))
+        if whole is None:
+            whole = one.withColumn("total", F.col("A.cost"))
             continue
-        mx = sum(b["x0"] + b["x1"] for b in here) / 2 / len(here)
-        my = sum(b["y0"] + b["y1"] for b in here) / 2 / len(here)
-        near = [sorted((a for a in anchors if a["page"] == page and a["label"] == c), key=lambda a: math.hypot(a["x"] - mx, a["y"] - my))[:NEAREST] for c in "ABCD"]
-        for marks in itertools.product(*near):
-            xs, ys = [m["x"] for m in marks], [m["y"] for m in marks]
-            if max(xs) - min(xs) > SPAN_X or max(ys) - min(ys) > SPAN_Y:
-                continue
-            for four in itertools.permutations(here, 4):
-                cost = _shape_cost(four)
-                for m, b in zip(marks, four):
-                    dx, dy = max(b["x0"] - m["x"], 0.0, m["x"] - b["x1"]), max(b["y0"] - m["y"], 0.0, m["y"] - b["y1"])
-                    cost += math.hypot(dx, dy) + CENTER_WEIGHT * math.hypot(m["x"] - (b["x0"] + b["x1"]) / 2, m["y"] - (b["y0"] + b["y1"]) / 2)
-                if cost < best[0]:
-                    best = (cost, four)
-    return best[1] if best[1] and best[0] / 4 <= ACCEPT_MEAN else None
-
-
-def _shape_cost(four):
-    aspect = [math.log((b["x1"] - b["x0"]) / (b["y1"] - b["y0"])) for b in four]
-    area = [math.log((b["x1"] - b["x0"]) * (b["y1"] - b["y0"])) for b in four]
-    ma, ms = sorted(aspect)[2], sorted(area)[2]
-    return ASPECT_WEIGHT * sum(abs(v - ma) for v in aspect) + AREA_WEIGHT * sum(abs(v - ms) for v in area)
-
-
-BOX = "array<struct<figure:string,page:int,x0:double,y0:double,x1:double,y1:double>>"
-MARK = "array<struct<label:string,page:int,x:double,y:double>>"
+        whole = whole.join(one, [*ITEM, "page"]).withColumn("total", F.col("total") + F.col(f"{letter}.cost")).filter(F.col("total") <= most)
+        for other in "ABCD"[:"ABCD".index(letter)]:
+            whole = whole.filter((F.col(f"{other}.b.figure") != F.col(f"{letter}.b.figure"))
+                                 & (F.abs(F.col(f"{other}.x") - F.col(f"{letter}.x")) <= SPAN_X) & (F.abs(F.col(f"{other}.y") - F.col(f"{letter}.y")) <= SPAN_Y))
+    four = F.array("A.b", "B.b", "C.b", "D.b")
+
+    def uneven(name):
+        values = F.transform(four, lambda b: b[name])
+        return F.aggregate(F.transform(values, lambda v: F.abs(v - F.array_sort(values)[2])), F.lit(0.0), lambda a, v: a + v)
+
+    total = F.col("total") + ASPECT_WEIGHT * uneven("aspect") + AREA_WEIGHT * uneven("area")
+    named = whole.select(*ITEM, F.struct(total.alias("cost"), "page", F.transform(four, lambda b: b["figure"]).alias("four")).alias("v")).filter(F.col("v.cost") <= most)
+    return _letters(named.groupBy(*ITEM).agg(F.min("v").alias("v")).select(*ITEM, F.col("v.four").alias("four")))
 
 
 def assign_options(figures: DataFrame, anchors: DataFrame | None, mode: str) -> DataFrame:
     """(doc, item, label, figure) for items whose figures can be told apart.
 
     ``reading``: four figures in reading order; ``grid``: the only regular four of N;
-    ``cost``: least distance to the printed labels. An item's figures and labels
-    all come from its own body, which is one row, so a group is no larger than that row.
-    Items whose layout decides nothing go unassigned.
+    ``cost``: least distance to the printed labels. Items whose layout decides nothing go
+    unassigned; of equal costs the least page and figure names win.
     """
-    boxes = figures.groupBy("doc", "item").agg(F.count("*").alias("n")).filter("n >= 4").select("doc", "item")
-    per = (figures.join(boxes, ["doc", "item"], "left_semi").groupBy("doc", "item")
-           .agg(F.array_sort(F.collect_list(F.struct("figure", "page", "x0", "y0", "x1", "y1"))).cast(BOX).alias("boxes")))
-    if anchors is not None:
-        marks = anchors.groupBy("doc", "item").agg(F.array_sort(F.collect_list(F.struct("label", "page", "x", "y"))).cast(MARK).alias("marks"))
-        per = per.join(marks, ["doc", "item"])
-    else:
-        per = per.withColumn("marks", F.lit(None).cast(MARK))
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def choose(boxes: pd.Series, marks: pd.Series) -> pd.Series:
-        out = []
-        for b, m in zip(boxes, marks):
-            b = [dict(x) for x in b]
-            if mode == "reading":
-                same = len(b) == 4 and len({x["page"] for x in b}) == 1
-                hs = sorted(x["y1"] - x["y0"] for x in b)
-                four = [x for r in _rows_of(b, max(20.0, 0.45 * (hs[1] + hs[2]) / 2)) for x in r] if same else None
-            elif mode == "grid":
-                four = _unique_grid(b)
-            else:
-                four = _cheapest(b, [dict(x) for x in m])
-            out.append([x["figure"] for x in four] if four else None)
-        return pd.Series(out)
-
-    picked = per.withColumn("_f", choose("boxes", "marks")).filter("_f IS NOT NULL")
-    return picked.select("doc", "item", F.posexplode("_f").alias("k", "figure")).select("doc", "item", F.char(F.col("k") + 65).alias("label"), "figure")
+    boxes = _shaped(figures)
+    if mode == "reading":
+        return _reading_order(boxes)
+    return _unique_grid(boxes) if mode == "grid" else _least_cost(boxes, anchors)

@@ -1,5 +1,6 @@
 """Fusion and page layout rules over coordinates derived from the tables."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import fusion as FU, layout as LA
@@ -170,27 +171,39 @@ def _(t):
 
 
 def option_boxes(t):
-    n = F.col("l_linenumber")
+    """One cell of two columns for each line of an order, in the lines' order."""
+    n = F.row_number().over(Window.partitionBy("l_orderkey", "l_linestatus").orderBy("l_linenumber", "l_partkey", "l_suppkey"))  # the lines of one order
     k = F.col("l_partkey") % 2
-    return t.lineitem.filter("l_linenumber <= 4").select(
-        F.col("l_orderkey").alias("doc"), F.col("l_linestatus").alias("item"), F.concat_ws("-", n, "l_partkey", "l_suppkey").alias("figure"), F.lit(0).alias("page"),
+    placed = t.lineitem.withColumn("n", n)
+    n = F.col("n")
+    return placed.select(
+        "n", F.col("l_orderkey").alias("doc"), F.col("l_linestatus").alias("item"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("figure"), F.lit(0).alias("page"),
         (((n - 1) % 2) * 300.0 + k * 4).alias("x0"), (F.floor((n - 1) / 2) * 250.0).alias("y0"), (((n - 1) % 2) * 300.0 + 200).alias("x1"), (F.floor((n - 1) / 2) * 250.0 + 150).alias("y1"))
 
 
-@query("option_reading_order", "W26")
+BOXES = """b AS (SELECT doc, item, n, (n - 1) // 2 AS y, (n - 1) % 2 AS x, figure FROM (SELECT l_orderkey AS doc, l_linestatus AS item, l_linenumber || '-' || l_partkey || '-' || l_suppkey AS figure,
+  row_number() OVER (PARTITION BY l_orderkey, l_linestatus ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem))"""
+
+
+@query("option_reading_order", "W26", f"""WITH {BOXES} SELECT doc, item, chr(CAST(64 + row_number() OVER (PARTITION BY doc, item ORDER BY y, x) AS INTEGER)) AS label, figure
+ FROM b WHERE (doc, item) IN (SELECT (doc, item) FROM b GROUP BY doc, item HAVING count(*) = 4)""")
 def _(t):
     return LA.assign_options(option_boxes(t), None, "reading")
 
 
-@query("option_unique_grid", "W27 W26")
+# A grid is two full rows, or four figures of one column; only a lone grid counts.
+@query("option_unique_grid", "W27 W26", f"""WITH {BOXES}, r AS (SELECT doc, item, y, count(*) AS c FROM b GROUP BY ALL), p AS (SELECT doc, item, count(*) FILTER (c = 2) AS full_rows FROM r GROUP BY ALL),
+ l AS (SELECT doc, item, count(*) FILTER (x = 0) AS left_ones FROM b GROUP BY ALL),
+ g AS (SELECT doc, item, full_rows, left_ones FROM p JOIN l USING (doc, item) WHERE full_rows * (full_rows - 1) // 2 + CASE WHEN left_ones = 4 THEN 1 ELSE 0 END = 1),
+ m AS (SELECT b.* FROM b JOIN g USING (doc, item) JOIN r USING (doc, item, y) WHERE CASE WHEN full_rows = 2 THEN c = 2 ELSE x = 0 END)
+ SELECT doc, item, chr(CAST(64 + row_number() OVER (PARTITION BY doc, item ORDER BY y, x) AS INTEGER)) AS label, figure FROM m""")
 def _(t):
     return LA.assign_options(option_boxes(t), None, "grid")
 
 
-@query("option_least_cost", "W28")
+@query("option_least_cost", "W28", f"""WITH {BOXES} SELECT doc, item, chr(CAST(64 + n AS INTEGER)) AS label, figure FROM b WHERE n <= 4 AND (doc, item) IN (SELECT (doc, item) FROM b WHERE n <= 4 GROUP BY doc, item HAVING count(*) = 4)""")
 def _(t):
-    n = F.col("l_linenumber")
-    marks = t.lineitem.filter("l_linenumber <= 4").select(
-        F.col("l_orderkey").alias("doc"), F.col("l_linestatus").alias("item"), F.char(n + 64).alias("label"), F.lit(0).alias("page"),
+    n = F.col("n")
+    marks = option_boxes(t).select("doc", "item", F.char(n + 64).alias("label"), F.lit(0).alias("page"),
         (((n - 1) % 2) * 300.0 + 100).alias("x"), (F.floor((n - 1) / 2) * 250.0 + 160).alias("y")).distinct()
     return LA.assign_options(option_boxes(t), marks, "cost")

@@ -45,7 +45,7 @@ def _(t):
 
 @query("duplicate_report", "P8")
 def _(t):
-    return D.duplicate_report(t.documents.filter("n_chars < 5000"), 0.9, "doc_id", "text")
+    return D.duplicate_report(t.documents, 0.9, "doc_id", "text")
 
 
 @query("character_overlap", "X3", """WITH n AS (SELECT o_orderkey AS id, lower(replace(o_orderpriority, '-', '')) AS a, lower(o_orderstatus || replace(o_orderpriority, 'O', 'x')) AS b FROM orders)

@@ -19,7 +19,6 @@ from .session import materialise
 
 CHUNK_ROWS = 65_536
 HEAVY_ROWS = 500_000
-HEAVY_SHARE = 100_000  # a heavy key holds more than 1/HEAVY_SHARE of the rows
 
 
 @dataclass(frozen=True)
@@ -67,7 +66,7 @@ def dense_chunk(position, rows: int = CHUNK_ROWS) -> Column:
 
 def scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column | str,
          columns: dict[str, Carry]) -> DataFrame:
-    """Add running columns over ``order`` inside the non-null ``keys``.
+    """Add running columns over ``order`` inside the ``keys``; a null key is a key like others.
 
     ``chunk`` must not decrease along ``order``. A key that fits one chunk costs one
     window; only keys with several chunks appear in the carry table. Given as a column
@@ -144,9 +143,9 @@ def scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column | str,
                               F.col(cname).alias("_kc"), "_chunks", *picks)
                .filter("_chunks > 1").drop("_chunks"))
 
-    match = F.col(cname) == F.col("_kc")
+    match = F.col(cname).eqNullSafe(F.col("_kc"))
     for j, k in enumerate(keys):
-        match = match & (F.col(k) == F.col(f"_k{j}"))
+        match = match & F.col(k).eqNullSafe(F.col(f"_k{j}"))
     joined = local.join(carried, match, "left")
 
     out = []
@@ -204,14 +203,8 @@ def fold(df: DataFrame, keys: list[str], order: list[str], start, step, finish,
 
 
 def heavy_keys(df: DataFrame, keys: list[str], rows: int = HEAVY_ROWS) -> DataFrame:
-    """Keys with more than ``rows`` rows and more than 1/HEAVY_SHARE of the table.
-
-    The second test bounds the result: at most HEAVY_SHARE keys can pass it, so the
-    result may be broadcast.
-    """
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    total = counts.select(F.sum("_n")).scalar()
-    return counts.filter((F.col("_n") > rows) & (F.col("_n") * HEAVY_SHARE > total))
+    """Keys with more than ``rows`` rows, whatever the size of the table."""
+    return df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > rows)
 
 
 def heavy_chunk(df: DataFrame, keys: list[str], fine: Column, name: str = "_hc",
@@ -223,7 +216,7 @@ def heavy_chunk(df: DataFrame, keys: list[str], fine: Column, name: str = "_hc",
     for j, k in enumerate(keys):
         c = F.col(k).eqNullSafe(F.col(f"_h{j}"))
         match = c if match is None else match & c
-    return (df.join(F.broadcast(heavy), match, "left")
+    return (df.join(heavy, match, "left")  # small or not, the engine picks the join
             .withColumn(name, F.when(F.col("_heavy"), fine.cast("long")).otherwise(F.lit(0).cast("long")))
             .drop("_heavy", *[f"_h{j}" for j in range(len(keys))]))
 
@@ -268,8 +261,7 @@ def join_counted(left: DataFrame, right: DataFrame, on: list[str], row_id: str,
     row is repeated once per slice and left rows pick a slice by hash of ``row_id``.
     """
     right = materialise(right)  # read three times below
-    total = right.select(F.sum(count)).scalar()
-    big = right.filter((F.col(count) > slice_rows) & (F.col(count) * HEAVY_SHARE > total)).select(
+    big = right.filter(F.col(count) > slice_rows).select(
         *[F.col(k).alias(f"_b{j}") for j, k in enumerate(on)],
         F.ceil(F.col(count) / slice_rows).cast("int").alias("_slices"))
     match = None
@@ -277,10 +269,10 @@ def join_counted(left: DataFrame, right: DataFrame, on: list[str], row_id: str,
         c = F.col(k) == F.col(f"_b{j}")
         match = c if match is None else match & c
     parts = [f"_b{j}" for j in range(len(on))]
-    cut = (left.join(F.broadcast(big), match, "left")  # at most HEAVY_SHARE keys
+    cut = (left.join(big, match, "left")
            .withColumn("_slice", F.coalesce(F.pmod(F.xxhash64(row_id), F.col("_slices")), F.lit(0)).cast("int"))
            .drop("_slices", *parts))
-    spread = (right.join(F.broadcast(big), match, "left")
+    spread = (right.join(big, match, "left")
               .withColumn("_slice", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_slices"), F.lit(1)) - 1)))
               .drop("_slices", *parts))
     return cut.join(spread, [*on, "_slice"], how).drop("_slice")

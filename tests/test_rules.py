@@ -28,8 +28,15 @@ def test_number_gaps(spark):
 
 
 def test_chinese_numbers_and_lines(spark):
-    for word, n in [("十", 10), ("十二", 12), ("二十", 20), ("二十三", 23), ("九", 9), ("一〇", None), ("百", None)]:
+    for word, n in [("十", 10), ("十二", 12), ("二十", 20), ("二十三", 23), ("九", 9), ("一〇", 10), ("百", 100), ("一百二十", 120), ("二百零三", 203), ("九百九十九", 999), ("两百一十", 210), ("十百", None), ("题", None)]:
         assert one(spark, M.chinese_number(F.col("s")), s=word) == n
+    names, nought = "零一二三四五六七八九", {}
+    for n in range(1, 1000):
+        h, t, o = n // 100, n // 10 % 10, n % 10
+        word = (names[h] + "百" if h else "") + (names[t] + "十" if t else "零" if h and o else "") + (names[o] if o else "")
+        nought[word[1:] if word.startswith("一十") else word] = n
+    words = spark.createDataFrame(list(nought.items()), "s string, n int")
+    assert words.filter(~M.chinese_number(F.col("s")).eqNullSafe(F.col("n"))).count() == 0
     num = lambda s, **k: one(spark, M.number_of(M.line_body(F.col("s")), **k)["n"], s=s)
     assert num("## 12. 题") == 12 and num("★★3．题") == 3 and num("AD 9. 题") == 9
     assert num("1.1.5 函数") is None and num("0. 2 = 0. 5") is None and num("12) 题") is None

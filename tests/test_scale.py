@@ -31,6 +31,12 @@ def test_scan_over_many_chunks_equals_one_window(spark):
         assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect())), size
 
 
+def test_scan_carries_over_chunks_of_a_null_key(spark):
+    df = spark.createDataFrame([(None, i, 1) for i in range(6)] + [("a", i, 1) for i in range(3)], "k string, pos long, v int")
+    got = S.scan(df, ["k"], ["pos"], S.dense_chunk("pos", 2), {"rn": S.row_number()}).orderBy("k", "pos").collect()
+    assert [r.rn for r in got] == [1, 2, 3, 4, 5, 6, 1, 2, 3]
+
+
 def test_heavy_keys_are_split_and_others_are_not(spark):
     df = spark.createDataFrame(rows(), "k string, pos long, v int")
     cut = S.heavy_chunk(df, ["k"], F.floor(F.col("pos") / 10), rows=100)
