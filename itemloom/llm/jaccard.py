@@ -135,7 +135,8 @@ def shared_sets(docs: DataFrame, kept: DataFrame, size: int, per_cent: int) -> D
             keep = (class_keys(doc, value, count)[:, 0].view(np.int64) == wanted)[doc]  # an id may stand for several texts
             yield pa.RecordBatch.from_arrays([pa.array(wanted[doc[keep]]), pa.array(value[keep].view(np.int64))], names=["k", "t"])
 
-    rows = zipped(docs).join(kept.select("doc_id", "k"), "doc_id").mapInArrow(run, "k long, t long")
+    # the same join at every size: texts and kept classes meet by id, never by broadcast
+    rows = zipped(docs).join(kept.select("doc_id", "k").hint("merge"), "doc_id").mapInArrow(run, "k long, t long")
     often = rows.groupBy("t").agg(F.count("*").alias("f")).filter("f > 1")
     sets = rows.join(often, "t").groupBy("k").agg(F.collect_set(F.struct("f", "t")).alias("s")).join(kept.select("k", "n"), "k")
     own = F.col("n") - F.size("s")
