@@ -3,11 +3,12 @@
 Every window of ``WINDOW`` words is an edge of a De Bruijn graph: it leads from the node of its
 first words to the node of its last ones. Three steps keep the graph to what can repeat:
 
-1. Anchors. A window's anchors are the least of its ``GRAM``-word runs under two hash orders.
-   Equal windows have equal anchors, so only anchors seen more than once can stand for
-   repeated edges. A document sends each of its anchors once; one of a window that it repeats
-   inside itself counts twice.
-2. Edges. Windows whose anchors both repeat become rows (96-bit edge hash, document, start). A
+1. Copies and anchors. A text equal to an earlier one is one span of that one's words; the
+   first of equal texts stands for all in what follows. A window's anchor is the least of its
+   ``GRAM``-word runs under a hash order. Equal windows have equal anchors, so only anchors
+   seen more than once can stand for repeated edges. A document sends each of its anchors
+   once; one of a window that it repeats inside itself counts twice.
+2. Edges. Windows with a repeated anchor become rows (96-bit edge hash, document, start). A
    grouping finds each edge's first source coordinate, a join gives it to all occurrences.
 3. Paths. Occurrences in a row whose first coordinates run in a row too have no branch between
    them and become one span with one source. Spans that meet cover words together.
@@ -37,7 +38,7 @@ from .zipped import unzipped, zipped
 
 WINDOW = 20
 GRAM = 8
-ORDERS = (0x1D8E4E27C47D124F, 0xEB44ACCAB455D165)  # of the runs, one anchor from each
+ORDERS = (0x1D8E4E27C47D124F,)  # of the runs, one anchor from each
 ROW = 40  # bits of a start inside rows that share an id
 
 
@@ -46,6 +47,14 @@ def _packed(docs: DataFrame) -> DataFrame:
     return zipped(docs).withColumn("rn", F.row_number().over(Window.partitionBy("doc_id").orderBy("z")) - 1)
 
 
+def _copies(rows: DataFrame) -> DataFrame:
+    """doc_id and its rows (rn) whose whole text stands in an earlier row, with that row."""
+    keyed = rows.filter("doc_id is not null").select("doc_id", "rn", F.md5("z").alias("k"))
+    first = keyed.groupBy("k").agg(F.min(F.struct("doc_id", "rn")).alias("f"), F.count("*").alias("n")).filter("n > 1").select("k", "f")
+    again = keyed.join(first, "k").filter((F.col("doc_id") != F.col("f.doc_id")) | (F.col("rn") != F.col("f.rn")))
+    return again.groupBy("doc_id").agg(F.collect_list(F.struct("rn", F.col("f.doc_id").alias("source_doc"), F.col("f.rn").alias("source_rn"))).alias("copies"))
+
+
 def graph(texts: Texts, window: int = WINDOW, gram: int = GRAM):
     """Words, and for every window: its first word's index, two edge hashes, its anchors."""
     words = words_of(texts)
@@ -148,8 +157,10 @@ def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wind
     removed if a span covers it. Without ``with_text`` the kept text itself is left out.
     """
     rows = _packed(documents(df, doc_id, text))
+    rows = rows.join(settled(_copies(rows)), "doc_id", "left")
+    once = rows.filter(~F.coalesce(F.exists("copies", lambda c: c["rn"] == F.col("rn")), F.lit(False)))
     # positions of one document, never more than it has words
-    found = settled(occurrences(rows, window, gram)).groupBy("doc_id").agg(F.collect_list(F.struct("at", "source_doc", "source_at")).alias("met"))
+    found = settled(occurrences(once, window, gram)).groupBy("doc_id").agg(F.collect_list(F.struct("at", "source_doc", "source_at")).alias("met"))
     kinds = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("source_doc", pa.int64()), ("source_start", pa.int64())]))
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", "spans", *["kept"] * with_text]
 
@@ -157,7 +168,7 @@ def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wind
         low = (1 << ROW) - 1
         for part, texts in unzipped(batches):
             words = words_of(texts)
-            rns, met = np.asarray(part.column("rn"), dtype=np.int64), part.column("met")
+            rns, met, copies = np.asarray(part.column("rn"), dtype=np.int64), part.column("met"), part.column("copies")
             removed, sums, kept, spans = [], [], [], []
             raw = texts.data.tobytes()
             for i in range(part.num_rows):
@@ -168,9 +179,11 @@ def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wind
                     at = np.asarray(own.field("at"), dtype=np.int64)
                     mine = (at >> ROW) == rns[i]
                     found_ = paths(at[mine] & low, np.asarray(own.field("source_doc"))[mine], np.asarray(own.field("source_at"))[mine], window)
-                    for s, e, _, _ in found_:
-                        gone[s] += 1
-                        gone[e] -= 1
+                if copies[i].is_valid and b - a >= window:
+                    found_ = [(0, b - a, c["source_doc"], 0) for c in copies[i].as_py() if c["rn"] == rns[i]] or found_
+                for s, e, _, _ in found_:
+                    gone[s] += 1
+                    gone[e] -= 1
                 left = np.flatnonzero(np.cumsum(gone[:-1]) == 0)
                 whole = b" ".join([raw[x:y] for x, y in zip(words.starts[a + left].tolist(), words.ends[a + left].tolist())])
                 removed.append(b - a - len(left))
@@ -182,4 +195,4 @@ def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wind
             yield pa.RecordBatch.from_arrays(arrays + ([pa.array(kept, pa.string())] if with_text else []), names=names)
 
     schema = f"doc_id long, n_words long, n_removed long, kept_sha256 string, spans {SPANS}" + (", kept string" if with_text else "")
-    return rows.join(found, "doc_id", "left").select("doc_id", "rn", "z", "size", "met").mapInArrow(run, schema)
+    return rows.join(found, "doc_id", "left").select("doc_id", "rn", "z", "size", "met", "copies").mapInArrow(run, schema)
