@@ -147,11 +147,15 @@ def _first_hash(n: int):
 
 def align_pages(pages: DataFrame, docs: DataFrame) -> DataFrame:
     """Start of each page in its document's text, where the first block of every page occurs
-    once and the starts rise; other documents are left to review (``aligned`` false)."""
-    j = pages.join(docs.select("doc", F.col("text").alias("_doc")), "doc")
-    at = F.instr("_doc", F.col("first_block"))
-    once = (at > 0) & (F.expr("locate(first_block, _doc, instr(_doc, first_block) + 1)") == 0)
-    spots = materialise(j.select("doc", "page", F.when(once, at).alias("at")))
+    once and the starts rise; other documents are left to review (``aligned`` false).
+
+    The pages of a document travel as one array, so its text is not repeated for each.
+    """
+    per = pages.groupBy("doc").agg(F.collect_list(F.struct("page", "first_block")).alias("_p"))
+    j = per.join(docs.select("doc", F.col("text").alias("_doc")), "doc")
+    once = "instr(_doc, p.first_block) > 0 AND locate(p.first_block, _doc, instr(_doc, p.first_block) + 1) = 0"
+    found = F.expr(f"transform(_p, p -> struct(p.page AS page, CASE WHEN {once} THEN instr(_doc, p.first_block) END AS at))")
+    spots = materialise(j.select("doc", F.inline(found)))
     step = scan(spots.withColumn("_c", page_chunk("page", 4096)), ["doc"], ["page"], "_c", {"_p": lag(F.coalesce("at", F.lit(-1)))})
     ok = step.groupBy("doc").agg(F.bool_and(F.col("at").isNotNull() & (F.col("_p").isNull() | (F.col("_p") < F.col("at")))).alias("aligned"))
     return spots.join(ok, "doc").withColumn("at", F.when(F.col("aligned"), F.col("at")))

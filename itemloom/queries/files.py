@@ -94,8 +94,17 @@ def _(t):
 
 @query("nested_audit_report", "K6", """SELECT l_orderkey AS doc, count(*) AS lines_count FROM lineitem WHERE l_quantity > 45 GROUP BY 1""")
 def _(t):
+    return _report_back(t, t.lineitem.filter("l_quantity > 45"))
+
+
+@query("whole_audit_report", "K6", """SELECT l_orderkey AS doc, count(*) AS lines_count FROM lineitem GROUP BY 1""")
+def _(t):
+    return _report_back(t, t.lineitem)
+
+
+def _report_back(t, lines):
     path = _folder(t)
-    rows = t.lineitem.filter("l_quantity > 45").select(F.col("l_orderkey").alias("doc"), "l_linenumber", "l_partkey")
+    rows = lines.select(F.col("l_orderkey").alias("doc"), "l_linenumber", "l_partkey")
     K.write_report(K.nested_report(rows, ["doc"], "lines", ["l_linenumber", "l_partkey"]), path)
     back = t.spark.read.schema("doc long, lines array<struct<l_linenumber:int,l_partkey:long>>, lines_count long").json(path)
     return back.filter(F.size("lines") == F.col("lines_count")).select("doc", "lines_count")

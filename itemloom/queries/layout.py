@@ -93,6 +93,16 @@ def _(t):
     return LA.align_pages(pages, d).groupBy("doc").agg(F.min("aligned").alias("aligned"))
 
 
+@query("whole_page_alignment", "J20", """WITH pg AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS fb, generate_subscripts(string_split(text, chr(10)), 1) AS page FROM documents),
+ s AS (SELECT doc_id, page, CASE WHEN fb <> '' AND length(text) - length(replace(text, fb, '')) = length(fb) THEN instr(text, fb) END AS pos FROM pg),
+ l AS (SELECT *, lag(coalesce(pos, -1)) OVER (PARTITION BY doc_id ORDER BY page) AS p FROM s) SELECT doc_id AS doc, bool_and(pos IS NOT NULL AND (p IS NULL OR p < pos)) AS aligned FROM l GROUP BY 1""")
+def _(t):
+    d = t.documents.select(F.col("doc_id").alias("doc"), "text")
+    pages = d.select("doc", F.posexplode(F.split("text", "\n")).alias("page", "first_block"))
+    pages = pages.withColumn("first_block", F.nullif("first_block", F.lit("")))
+    return LA.align_pages(pages, d).groupBy("doc").agg(F.min("aligned").alias("aligned"))
+
+
 @query("best_layout_files", "J26", """WITH a AS (SELECT l_orderkey AS source, l_suppkey % 4 AS file, count_if(l_returnflag = 'A') AS hits, count_if(l_returnflag <> 'A') AS amb FROM lineitem GROUP BY 1, 2),
  f AS (SELECT o_orderkey AS source, unnest([0, 1, 2, 3]) AS file FROM orders) SELECT source, arg_max(file, (coalesce(hits, 0), -coalesce(amb, 0), -file, file)) AS file, max(coalesce(hits, 0)) AS hits FROM f LEFT JOIN a USING (source, file) WHERE file <> source % 4 GROUP BY source""")
 def _(t):
@@ -148,6 +158,24 @@ def _(t):
     return FU.rebuild_units(d, FU.exact_spans(d, b, ["doc"]), b.withColumn("text", F.lit("<new>")), ["doc"]).select("doc", F.md5("text").alias("digest"))
 
 
+def line_blocks(d):
+    return d.select("doc", F.posexplode(F.split("text", "\n")).alias("idx", "text")).filter("text <> ''")
+
+
+@query("whole_block_spans", "J27", """SELECT doc_id AS doc, CAST(i - 1 AS INTEGER) AS idx, instr(text, fb) AS "begin", instr(text, fb) + length(fb) AS "end"
+ FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS fb, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE fb <> '' AND length(text) - length(replace(text, fb, '')) = length(fb)""")
+def _(t):
+    d = t.documents.select(F.col("doc_id").alias("doc"), "text")
+    return FU.exact_spans(d, line_blocks(d), ["doc"])
+
+
+@query("whole_rebuilt_units", "J27", """SELECT doc_id AS doc, md5(array_to_string(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN x <> '' AND length(text) - length(replace(text, x, '')) = length(x) THEN '<new>' ELSE x END), chr(10))) AS digest FROM documents""")
+def _(t):
+    d = t.documents.select(F.col("doc_id").alias("doc"), "text")
+    b = line_blocks(d)
+    return FU.rebuild_units(d, FU.exact_spans(d, b, ["doc"]), b.withColumn("text", F.lit("<new>")), ["doc"]).select("doc", F.md5("text").alias("digest"))
+
+
 @query("namespaced_images", "J29", """WITH i AS (SELECT 'exam' AS side, 'p' || l_partkey AS name FROM lineitem WHERE l_returnflag = 'A' UNION SELECT 'solution', 'p' || l_partkey FROM lineitem WHERE l_returnflag = 'R')
  SELECT side, name, CASE WHEN name IN (SELECT name FROM i GROUP BY name HAVING count(DISTINCT side) > 1) THEN side || '_' || name ELSE name END AS merged_name FROM i""")
 def _(t):

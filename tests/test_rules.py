@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from itemloom.functions import choices as C, marks as M, passes as P, text as X
 from itemloom.operators import collections as CO, fusion as FU, layout as LA, loads as L, predicates as PR, sampling as SM, sequence as SQ
 from itemloom.plans import importing as IM
+import itemloom.queries  # noqa: F401
+from itemloom.registry import QUERIES
 
 
 def one(spark, column, **values):
@@ -184,3 +186,22 @@ def test_fusion_keeps_primary_without_proof(spark):
     a = spark.createDataFrame([("d", n, f"{n}. {body}") for n in (1, 2, 3, 4, 5, 7)], "doc string, number int, text string")
     got = {r.number: r.choice for r in FU.fuse_readings(p, a, ["doc"]).collect()}
     assert got == {1: "primary", 2: "primary", 3: "inserted", 4: "primary", 5: "left_out", 7: "primary"}
+
+
+def test_whole_line_queries_read_every_line(spark, tmp_path):
+    rows = [(1, "a\nb\nc\nd\ne", "en", "s", 9), (2, "a\nb\nc\nd\nd", "en", "s", 9), (3, "x\nq\nr\nss\nt", "en", "s", 10)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda name: QUERIES[name].run(spark, str(tmp_path)).collect()
+    assert {r.doc: r.aligned for r in run("whole_page_alignment")} == {1: True, 2: False, 3: True}  # the repeat stands in line 5
+    assert sorted(r.idx for r in run("whole_block_spans") if r.doc == 2) == [0, 1, 2]
+    assert {r.begin: r.end for r in run("whole_block_spans") if r.doc == 3} == {1: 2, 3: 4, 5: 6, 7: 9, 10: 11}
+    assert {r.doc: r.digest for r in run("whole_rebuilt_units")}[2] == hashlib.md5("<new>\n<new>\n<new>\nd\nd".encode()).hexdigest()
+
+
+def test_whole_order_queries_read_every_row(spark, tmp_path):
+    rows = [(1, n, 10 + n, 5.0, "A" if n % 2 else "R") for n in range(1, 7)] + [(2, n, 20, 50.0, "A") for n in (1, 2, 3)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert {r.doc: r.lines_count for r in QUERIES["whole_audit_report"].run(spark, str(tmp_path)).collect()} == {1: 6, 2: 3}
+    plan = QUERIES["option_verdicts"].run(spark, str(tmp_path))
+    assert {r.letter: r.correct for r in plan.collect()} == {"A": True, "B": False, "C": True, "D": False}
+    assert "l_linenumber" not in "".join(x for x in plan._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Filter" in x and "<= 4" in x)
