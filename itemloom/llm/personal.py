@@ -1,19 +1,20 @@
 """Personal data: base rules, and a semi-Markov conditional random field over spans.
 
 Base rules give emails, network addresses, card and phone numbers. The field scores whole
-candidate segments of a token stretch (at most ``MOST_TOKENS`` tokens) as email, ip, card,
-phone or as a single outside token; a dynamic programme over segment ends chooses boundaries
-and types together. Features are of the whole span: its shape, digit groups, signs, check
+candidate segments of a token stretch (at most ``MOST_CHARS`` characters, and ``MOST_DIGITS``
+digits in a number) as email, ip, card, phone or as a single outside token; a dynamic
+programme over segment ends chooses boundaries and types together. Features are of the whole span: its shape, digit groups, signs, check
 sums, length, and the words and signs around it.
 
 Segments must look possible for their type (an ``@`` for an email, the number of digits the
 type allows otherwise); tokens that no possible segment can hold are outside by rule, so the
 best segmentation decomposes at them and the programme runs over stretches of number-like
-tokens only.
+tokens only. A stretch is never cut: its segments are made for ``BLOCK`` ends at a time.
 
 Weights are learnt by gradient steps on the log-likelihood with the base rules' spans as
 labels, from at most ``MAX_TRAIN`` documents chosen by hash of their id and at most
-``MAX_STRETCHES`` stretches of each; decoding covers every whole text. An added span keeps the
+``MAX_STRETCHES`` pieces of stretches of each; a piece ends where no base span is, and one that
+holds a base span which is no candidate teaches nothing. Decoding covers every whole text. An added span keeps the
 kind that the field gave it and is left out if it touches a base span; a span of a base rule
 that another rule also claims stays as well.
 
@@ -46,8 +47,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 MAX_TRAIN = 4000
 MAX_STRETCHES = 20
-MOST_TOKENS = 12
 MOST_CHARS = 80
+MOST_DIGITS = 19  # of the longest kind of number
+BLOCK = 512
 WIDTH = 1 << 13
 SLOTS = 12
 EPOCHS = 60
@@ -107,19 +109,20 @@ _TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|.", re.DOTALL)
 
 
 def stretches(text: str):
-    """Stretches of number-like or address-like text, as lists of (start, end) of tokens.
-
-    A stretch is cut after 400 characters at a token, so that no stretch is unbounded.
-    """
+    """Stretches of number-like or address-like text, as lists of (start, end) of tokens."""
     for m in _NUMBERS.finditer(text):
-        tokens: list[tuple[int, int]] = []
-        for t in _TOKEN.finditer(text, m.start(), m.end()):
-            tokens.append((t.start(), t.end()))
-            if t.end() - tokens[0][0] > 400:
-                yield tokens
-                tokens = []
-        if tokens:
-            yield tokens
+        yield [(t.start(), t.end()) for t in _TOKEN.finditer(text, m.start(), m.end())]
+
+
+def pieces(tokens: list[tuple[int, int]], spans):
+    """A stretch for training: cut after 400 characters, at a token's end that no base span goes across."""
+    first = 0
+    for k, (_, at) in enumerate(tokens):
+        if at - tokens[first][0] > 400 and not any(a < at < b for _, a, b in spans):
+            yield tokens[first:k + 1]
+            first = k + 1
+    if first < len(tokens):
+        yield tokens[first:]
 
 
 def allowed(text: str, kind: int) -> bool:
@@ -167,32 +170,53 @@ def outside_features(text: str, a: int, b: int) -> list[int]:
     return [_code("out", "bias"), _code("out", shape), _code("out", shape, min(len(token), 20)), _code("out", text[a - 1:a] if a else "", shape)] + [_code("out", "pad")] * (SLOTS - 4)
 
 
+def _starts(text: str, tokens: list[tuple[int, int]], e: int) -> list[tuple[int, bool, bool]]:
+    """First tokens of segments that end with token ``e``: whether as an email, as a number."""
+    b = tokens[e][1]
+    mail = text[b - 1].isalnum() and "@" in text[max(0, b - MOST_CHARS):b]
+    number = "0" <= text[b - 1] <= "9"
+    out, ats, digits, s = [], 0, 0, e
+    while s >= 0 and (mail or number) and b - tokens[s][0] <= MOST_CHARS:
+        c = text[tokens[s][0]]
+        if "0" <= c <= "9":
+            digits += tokens[s][1] - tokens[s][0]
+        ats += c == "@"
+        mail = mail and ats < 2
+        number = number and digits <= MOST_DIGITS and c != "@" and not c.isalpha()
+        out.append((s, mail and ats == 1, number))
+        s -= 1
+    return out[::-1]
+
+
 class Segments:
-    """All candidate segments of a stretch with their features, grouped by end."""
+    """Candidate segments of a stretch with their features, grouped by end.
+
+    With ``low`` and ``high`` only those that end with one of these tokens.
+    """
 
-    def __init__(self, text: str, tokens: list[tuple[int, int]]):
+    def __init__(self, text: str, tokens: list[tuple[int, int]], low: int = 0, high: int | None = None):
         self.tokens = tokens
         self.first, self.last, self.kind, feats = [], [], [], []
-        for e in range(len(tokens)):
+        for e in range(low, len(tokens) if high is None else high):
             self.first.append(e)
             self.last.append(e)
             self.kind.append(OUTSIDE)
             feats.append(outside_features(text, *tokens[e]))
-            for s in range(max(0, e + 1 - MOST_TOKENS), e + 1):
+            for s, mail, number in _starts(text, tokens, e):
                 a, b = tokens[s][0], tokens[e][1]
-                if b - a > MOST_CHARS:
-                    continue
-                span = text[a:b]
-                for kind in range(len(KINDS)):
-                    if allowed(span, kind):
+                for kind in (0,) * mail + (1, 2, 3) * number:
+                    if allowed(text[a:b], kind):
                         self.first.append(s)
                         self.last.append(e)
                         self.kind.append(kind)
                         feats.append(span_features(text, a, b, kind))
         self.feats = np.array(feats, dtype=np.int32)
 
-    def gold(self, spans) -> list[int]:
-        """Numbers of the segments that the base spans make; the rest is outside."""
+    def gold(self, spans) -> list[int] | None:
+        """Numbers of the segments that the base spans make; the rest is outside.
+
+        None if a base span is no candidate.
+        """
         by = {(self.tokens[s][0], self.tokens[e][1], k): i for i, (s, e, k) in enumerate(zip(self.first, self.last, self.kind))}
         out, at = [], 0
         wanted = {a: (b, KINDS.index(k)) for k, a, b in reversed(spans)}
@@ -200,6 +224,8 @@ class Segments:
             a = self.tokens[at][0]
             i = by.get((a, wanted[a][0], wanted[a][1])) if a in wanted else None
             if i is None:
+                if a in wanted:
+                    return None
                 i = by[(a, self.tokens[at][1], OUTSIDE)]
             out.append(i)
             at = self.last[i] + 1
@@ -213,36 +239,46 @@ class SegmentField:
         self.w = np.zeros(WIDTH)
         self.move = np.zeros((OUTSIDE + 2, OUTSIDE + 1))  # the last row: at the beginning
 
-    def _forward(self, seg: Segments, score: np.ndarray, best: bool):
-        n = len(seg.tokens)
-        alpha = np.full((n + 1, OUTSIDE + 2), -np.inf)
+    def _forward(self, seg: Segments, score: np.ndarray) -> np.ndarray:
+        alpha = np.full((len(seg.tokens) + 1, OUTSIDE + 2), -np.inf)
         alpha[0, OUTSIDE + 1] = 0.0
-        back: dict[tuple[int, int], tuple[int, int]] = {}
         for i, (s, e, k) in enumerate(zip(seg.first, seg.last, seg.kind)):
-            into = alpha[s] + self.move[:, k]
-            value = (into.max() if best else np.logaddexp.reduce(into)) + score[i]
-            if best:
-                if value > alpha[e + 1, k]:
-                    alpha[e + 1, k] = value
-                    back[e + 1, k] = (i, int(into.argmax()))
-            else:
-                alpha[e + 1, k] = np.logaddexp(alpha[e + 1, k], value)
-        return alpha, back
+            value = np.logaddexp.reduce(alpha[s] + self.move[:, k]) + score[i]
+            alpha[e + 1, k] = np.logaddexp(alpha[e + 1, k], value)
+        return alpha
 
     def decode(self, seg: Segments) -> list[tuple[int, int, int]]:
         """Best segmentation as (first token, last token, kind), outside left out."""
-        alpha, back = self._forward(seg, self.w[seg.feats].sum(axis=1), True)
-        at, k, out = len(seg.tokens), int(alpha[len(seg.tokens)].argmax()), []
+        return self._best(len(seg.tokens), [seg])
+
+    def decode_stretch(self, text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        """The same for a stretch of any length: features are held for ``BLOCK`` ends at a time."""
+        n = len(tokens)
+        return self._best(n, (Segments(text, tokens, k, min(k + BLOCK, n)) for k in range(0, n, BLOCK)))
+
+    def _best(self, n: int, blocks) -> list[tuple[int, int, int]]:
+        alpha = np.full((n + 1, OUTSIDE + 2), -np.inf)
+        alpha[0, OUTSIDE + 1] = 0.0
+        start = np.zeros((n + 1, OUTSIDE + 1), np.int32)
+        previous = np.zeros((n + 1, OUTSIDE + 1), np.int8)
+        for seg in blocks:
+            score = self.w[seg.feats].sum(axis=1)
+            for i, (s, e, k) in enumerate(zip(seg.first, seg.last, seg.kind)):
+                into = alpha[s] + self.move[:, k]
+                value = into.max() + score[i]
+                if value > alpha[e + 1, k]:
+                    alpha[e + 1, k], start[e + 1, k], previous[e + 1, k] = value, s, into.argmax()
+        at, k, out = n, int(alpha[n].argmax()), []
         while at > 0:
-            i, before = back[at, k]
-            if seg.kind[i] != OUTSIDE:
-                out.append((seg.first[i], seg.last[i], seg.kind[i]))
-            at, k = seg.first[i], before
+            s = int(start[at, k])
+            if k != OUTSIDE:
+                out.append((s, at - 1, k))
+            at, k = s, int(previous[at, k])
         return out[::-1]
 
     def _gradient(self, seg: Segments, gold: list[int], gw: np.ndarray, gm: np.ndarray) -> None:
         score = self.w[seg.feats].sum(axis=1)
-        alpha, _ = self._forward(seg, score, False)
+        alpha = self._forward(seg, score)
         n = len(seg.tokens)
         beta = np.full((n + 1, OUTSIDE + 2), -np.inf)
         beta[n] = 0.0
@@ -317,7 +353,8 @@ def train(docs: DataFrame, most: int = MAX_TRAIN, most_stretches: int = MAX_STRE
                     if got is None:
                         continue
                     text, spans = got
-                    kept = [t for t in stretches(text) if _worth(text, t)]
+                    kept = [t for whole in stretches(text) for t in pieces(whole, spans) if _worth(text, t)]
+                    kept = [t for t in kept if all(t[0][0] <= a and b <= t[-1][1] for _, a, b in spans if a < t[-1][1] and t[0][0] < b)]
                     kept.sort(key=lambda t: (not any(t[0][0] < b and a < t[-1][1] for _, a, b in spans), zlib.crc32(text[t[0][0]:t[-1][1]].encode("utf-8", "replace"))))
                     for tokens in kept[:most_stretches]:
                         a, b = max(0, tokens[0][0] - 40), tokens[-1][1] + 40
@@ -332,7 +369,9 @@ def train(docs: DataFrame, most: int = MAX_TRAIN, most_stretches: int = MAX_STRE
         tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(t, a, b)]
         spans = [(k, int(x), int(y)) for k, x, y in (v.split(":") for v in s.split(",") if v)]
         seg = Segments(t, tokens)
-        pairs.append((seg, seg.gold(spans)))
+        gold = seg.gold(spans)
+        if gold is not None:
+            pairs.append((seg, gold))
     return SegmentField().fit(pairs)
 
 
@@ -344,7 +383,7 @@ def added_spans(field: SegmentField, text: str, spans) -> list[tuple[str, int, i
         free = [t for t in tokens if not any(a < t[1] and t[0] < b for _, a, b in spans)]
         if not free or not any("0" <= c <= "9" or c == "@" for a, b in free for c in text[a:b]):
             continue
-        for s, e, kind in field.decode(Segments(text, tokens)):
+        for s, e, kind in field.decode_stretch(text, tokens):
             a, b = tokens[s][0], tokens[e][1]
             if not any(x < b and a < y for _, x, y in spans):
                 out.append((KINDS[kind], a, b))

@@ -238,6 +238,37 @@ def test_segmentation_is_the_best_one():
     assert field.decode(seg) == want
 
 
+def test_long_stretches_are_decoded_whole(monkeypatch):
+    rng = random.Random(4)
+    cards = [" ".join(re.findall("....", card(rng))) for _ in range(60)]
+    text = "pay " + " ".join(cards)  # one run for the card rule, which drops it
+    wanted, at = [], 4
+    for c in cards:
+        wanted.append((at, at + len(c)))
+        at += len(c) + 1
+    (tokens,) = personal.stretches(text)
+    seg = personal.Segments(text, tokens)
+    have = {(tokens[s][0], tokens[e][1]) for s, e, k in zip(seg.first, seg.last, seg.kind) if k == 2}
+    assert set(wanted) <= have
+    field = personal.SegmentField()
+    field.move[:, :personal.OUTSIDE] = -1.0
+    field.w[personal._code(2, "luhn", True)] = field.w[personal._code(2, "groups", 4, 4, 4, 4)] = 3.0
+    assert [(tokens[s][0], tokens[e][1]) for s, e, k in field.decode(seg)] == wanted
+    for block in (1, 7, 64):
+        monkeypatch.setattr(personal, "BLOCK", block)
+        assert field.decode_stretch(text, tokens) == field.decode(seg)
+
+
+def test_numbers_of_many_groups_are_candidates():
+    for text, kind in (("00 49 30 12 34 56 78", "phone"), ("+49 (0) 30 12 34 56 78", "phone"), ("first.second.third.fourth@one.two.three.org", "email"), ("1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6", "card")):
+        tokens = [m.span() for m in personal._TOKEN.finditer(text)]
+        seg = personal.Segments(text, tokens)
+        gold = seg.gold([(kind, 0, len(text))])
+        assert [(seg.first[i], seg.last[i], personal.KINDS[seg.kind[i]]) for i in gold] == [(0, len(tokens) - 1, kind)]
+    long = "+1" + " -" * 60 + "23456789"
+    assert personal.Segments(long, [m.span() for m in personal._TOKEN.finditer(long)]).gold([("phone", 0, len(long))]) is None
+
+
 # 4 packing
 
 
