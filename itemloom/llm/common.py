@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import gc
 import hashlib
 
@@ -64,3 +66,20 @@ def settled(df: DataFrame) -> DataFrame:
 
 def sha256(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "replace")).hexdigest()
+
+
+class Cover:
+    """Union of the spans (kind, start, end), to ask whether it holds a stretch of text whole."""
+
+    def __init__(self, spans):
+        self.starts, self.ends = [], []
+        for a, b in sorted(s[1:3] for s in spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(b, self.ends[-1])
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def holds(self, a: int, b: int) -> bool:
+        i = bisect_right(self.starts, a) - 1
+        return i >= 0 and b <= self.ends[i]

@@ -15,8 +15,8 @@ Weights are learnt by gradient steps on the log-likelihood with the base rules'
 labels, from at most ``MAX_TRAIN`` documents chosen by hash of their id and at most
 ``MAX_STRETCHES`` pieces of stretches of each; a piece ends where no base span is, and one that
 holds a base span which is no candidate teaches nothing. Decoding covers every whole text. An added span keeps the
-kind that the field gave it and is left out if it touches a base span; a span of a base rule
-that another rule also claims stays as well.
+kind that the field gave it and is left out only if base spans cover it whole; a span of a base
+rule that another rule also claims stays as well.
 
 Defined results: a null text is an empty one and has no spans; repeated rows are scanned
 alike; null ids are kept; an empty table gives an empty result; other columns are ignored.
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import Texts, slices, texts_of
-from .common import documents
+from .common import Cover, documents
 
 KINDS = ("email", "ip", "card", "phone")
 OUTSIDE = len(KINDS)
@@ -376,16 +376,13 @@ def train(docs: DataFrame, most: int = MAX_TRAIN, most_stretches: int = MAX_STRE
 
 
 def added_spans(field: SegmentField, text: str, spans) -> list[tuple[str, int, int]]:
-    out = []
+    out, base = [], Cover(spans)
     for tokens in stretches(text):
-        if not _worth(text, tokens):
-            continue
-        free = [t for t in tokens if not any(a < t[1] and t[0] < b for _, a, b in spans)]
-        if not free or not any("0" <= c <= "9" or c == "@" for a, b in free for c in text[a:b]):
+        if not _worth(text, tokens) or base.holds(tokens[0][0], tokens[-1][1]):
             continue
         for s, e, kind in field.decode_stretch(text, tokens):
             a, b = tokens[s][0], tokens[e][1]
-            if not any(x < b and a < y for _, x, y in spans):
+            if not base.holds(a, b):
                 out.append((KINDS[kind], a, b))
     return out
 

@@ -10,7 +10,7 @@ those of the file (length, share of digits, number of possible tokens).
 Weights are learnt by gradient steps on the log-likelihood, with the base rules' spans as
 labels, from at most ``MAX_TRAIN`` documents chosen by hash of their id and at most
 ``MAX_RUNS`` stretches of each; decoding covers every whole text. Spans the field adds have
-kind ``crf``; those that touch a base span are left out, so base spans stay as they are.
+kind ``crf``; those that base spans cover whole are left out, and base spans stay as they are.
 
 Defined results: a null text is an empty one and has no spans; repeated rows are scanned
 alike; null ids are kept; an empty table gives an empty result; other columns are ignored.
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import Texts, slices, texts_of
-from .common import documents
+from .common import Cover, documents
 
 KINDS = ("assign", "access", "hex", "crf")
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -300,11 +300,9 @@ def train(docs: DataFrame, most: int = MAX_TRAIN, most_runs: int = MAX_RUNS) ->
 
 
 def added_spans(field: Field, text: str, spans, stretches, file) -> list[tuple[str, int, int]]:
-    """Spans that the field finds and that touch no base span."""
-    out = []
+    """Spans that the field finds and that base spans do not cover whole."""
+    out, base = [], Cover(spans)
     for stretch in stretches:
-        if all(any(s[1] < b and a < s[2] for s in spans) for a, b in stretch):
-            continue
         tags = field.decode(_codes(text, stretch, file))
         k = 0
         while k < len(tags):
@@ -318,7 +316,7 @@ def added_spans(field: Field, text: str, spans, stretches, file) -> list[tuple[s
                 k += 1
             while text[b:b + 1] == "=":
                 b += 1
-            if not any(s[1] < b and a < s[2] for s in spans):
+            if not base.holds(a, b):
                 out.append(("crf", a, b))
     return out
 
