@@ -1,14 +1,14 @@
 """Secret scan: base rules, and a linear-chain conditional random field over a text's tokens.
 
 Base rules give spans of kinds assign, access and hex. The field tags tokens as secret begin,
-inside or outside. Tokens are runs of ``[A-Za-z0-9+/_.-]``; a token that cannot hold a secret
-(fewer than ``LEAST`` characters or without a digit) is outside by rule, so the best path
-decomposes exactly at such tokens, and Viterbi runs over the stretches between them. Features
-are the token's shape, its neighbours (signs before and after, words before and after) and
-those of the file (length, share of digits, number of possible tokens).
+inside or outside. Tokens are runs of ``[A-Za-z0-9+/_.-]``. Viterbi runs over windows of all
+tokens, words and short ones among them, up to ``AROUND`` tokens from a suspicious one: one
+with a key word in it or of a random shape (``suspicious``). Within a window the weights alone
+decide. Features are the token's shape, its neighbours (signs before and after, words before
+and after) and those of the file (length, share of digits, number of suspicious tokens).
 
 Weights are learnt by gradient steps on the log-likelihood, with the base rules' spans as
-labels, from at most ``MAX_TRAIN`` documents chosen by hash of their id and at most
+labels (of an assignment its value), from at most ``MAX_TRAIN`` documents chosen by hash of their id and at most
 ``MAX_RUNS`` stretches of each; decoding covers every whole text. Spans the field adds have
 kind ``crf``; those that base spans cover whole are left out, and base spans stay as they are.
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 
 MAX_TRAIN = 4000
 MAX_RUNS = 20
-LEAST = 8
+AROUND = 3
+SLAB = 1 << 14
+WORDS = (b"passw", b"passphrase", b"passcode", b"pwd", b"secret", b"token", b"key", b"credential", b"bearer", b"auth", b"private", b"signature")
 SLOTS = 16
 WIDTH = 1 << 14
 OUT, BEGIN, INSIDE = 0, 1, 2
@@ -49,6 +52,12 @@ _RUN[48:58] = _RUN[65:91] = _RUN[97:123] = True
 _RUN[[0x2B, 0x2F, 0x5F, 0x2E, 0x2D]] = True
 _DIGIT = np.zeros(256, dtype=bool)
 _DIGIT[48:58] = True
+_UPPER = np.zeros(256, dtype=bool)
+_UPPER[65:91] = True
+_LOWER = np.zeros(256, dtype=bool)
+_LOWER[97:123] = True
+_CONSONANT = _UPPER | _LOWER
+_CONSONANT[list(b"aeiouyAEIOUY")] = False
 
 
 def runs(texts: Texts, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,20 +84,49 @@ def base_spans(text: str, hex_runs: list[tuple[int, int]]) -> list[tuple[str, in
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def possible(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte ranges of tokens that can hold a secret, and the document of each."""
+def _counts(flags: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(flags)))
+
+
+def suspicious(texts: Texts, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which tokens open a window: those with a key word, with 8 characters and a digit, with 6
+    characters, a letter and a digit, with 16 characters, with 8 and a capital after a small
+    letter, or with 8 and five consonants in a row."""
+    data, size = texts.data, ends - starts
+    upper, lower = _UPPER[data], _LOWER[data]
+    digits, letters = _counts(_DIGIT[data]), _counts(upper | lower)
+    turns = _counts(upper & np.concatenate(([False], lower[:-1])))
+    place = np.arange(len(data))
+    hard = place - np.maximum.accumulate(np.where(_CONSONANT[data], -1, place)) >= 5
+    hard = _counts(hard)
+    has = lambda c, skip=0: c[ends] > c[np.minimum(starts + skip, ends)]
+    hot = (size >= 16) | has(digits) & ((size >= 8) | (size >= 6) & has(letters)) | (size >= 8) & (has(turns, 1) | has(hard, 4))
+    small = np.where(upper, data | 0x20, data).astype(np.uint8).tobytes()
+    for word in WORDS:
+        at = np.array([m.start() for m in re.finditer(word, small)], dtype=np.int64)
+        k = np.searchsorted(starts, at, "right") - 1
+        hot[k[at + len(word) <= ends[k]]] = True
+    return hot
+
+
+def near(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens within ``AROUND`` of a suspicious one of their document: number, byte range and
+    document of each; and the documents of the suspicious ones."""
     starts, ends = runs(texts, _RUN)
-    keep = ends - starts >= LEAST
-    starts, ends = starts[keep], ends[keep]
-    digits = np.concatenate(([0], np.cumsum(_DIGIT[texts.data])))
-    keep = digits[ends] > digits[starts]
-    starts, ends = starts[keep], ends[keep]
-    return starts, ends, np.searchsorted(texts.offsets, starts, "right") - 1
+    doc = np.searchsorted(texts.offsets, starts, "right") - 1
+    at = np.flatnonzero(suspicious(texts, starts, ends))
+    first = np.searchsorted(doc, np.arange(len(texts) + 1))
+    change = np.zeros(len(starts) + 1, np.int64)
+    np.add.at(change, np.maximum(at - AROUND, first[doc[at]]), 1)
+    np.add.at(change, np.minimum(at + AROUND + 1, first[doc[at] + 1]), -1)
+    number = np.flatnonzero(np.cumsum(change)[:-1])
+    return number, starts[number], ends[number], doc[number], doc[at]
 
 
 _WORD = re.compile(r"[A-Za-z]+")
 
 
+@lru_cache(maxsize=1 << 16, typed=True)
 def _code(*parts) -> int:
     return zlib.crc32("\x1f".join(map(str, parts)).encode()) % WIDTH
 
@@ -97,49 +135,51 @@ def _log(n: int) -> int:
     return int(n).bit_length()
 
 
-def token_features(text: str, a: int, b: int, size: int, digits: int, tokens: int) -> list[int]:
-    """Feature numbers of the token ``text[a:b]`` in its file, always ``SLOTS`` of them."""
-    token = text[a:b]
-    before, after = text[max(0, a - 40):a], text[b:b + 24]
+@lru_cache(maxsize=1 << 16)
+def _shape(token: str) -> tuple[str, tuple[int, ...]]:
+    """Kinds of characters of a token, and the features that do not depend on its place."""
     n_digit = sum(c.isdigit() for c in token)
     n_upper = sum(c.isupper() for c in token)
     n_lower = sum(c.islower() for c in token)
     turns = sum((x.isdigit() != y.isdigit()) for x, y in zip(token, token[1:]))
     kinds = "".join(k for k, n in (("D", n_digit), ("A", n_upper), ("a", n_lower), ("s", len(token) - n_digit - n_upper - n_lower)) if n)
     only_hex = all(c in "0123456789abcdefABCDEF" for c in token)
+    return kinds, (
+        _code("kinds", kinds), _code("length", min(len(token), 48) // 4, kinds), _code("hex", only_hex, kinds), _code("turns", min(turns, 12)),
+        _code("digits", round(8 * n_digit / len(token))), _code("dots", min(token.count("."), 4), min(token.count("-"), 4)),
+        _code("head", re.sub(r"[0-9]", "9", token[:4])),
+    )
+
+
+def token_features(text: str, a: int, b: int, size: int, digits: int, tokens: int) -> list[int]:
+    """Feature numbers of the token ``text[a:b]`` in its file, always ``SLOTS`` of them."""
+    kinds, shape = _shape(text[a:b])
+    before, after = text[max(0, a - 40):a], text[b:b + 24]
     left = re.sub(r"\s+", " ", re.search(r"[^A-Za-z0-9]*\Z", before).group())[-3:]
     right = re.sub(r"\s+", " ", re.match(r"[^A-Za-z0-9]*", after).group())[:2]
     words = _WORD.findall(before)
     last = words[-1].lower() if words else ""
     following = _WORD.match(after.lstrip())
     return [
-        _code("kinds", kinds), _code("length", min(len(token), 48) // 4, kinds), _code("hex", only_hex, kinds), _code("turns", min(turns, 12)),
-        _code("digits", round(8 * n_digit / len(token))), _code("dots", min(token.count("."), 4), min(token.count("-"), 4)),
-        _code("head", re.sub(r"[0-9]", "9", token[:4])), _code("left", left), _code("right", right), _code("word", last[-12:], left[-1:]),
+        *shape, _code("left", left), _code("right", right), _code("word", last[-12:], left[-1:]),
         _code("sign", "=" in left or ":" in left, kinds), _code("at", before[-1:] == "@" or after[:1] == "@"),
         _code("next", following.group().lower()[:12] if following else ""), _code("size", _log(size)),
         _code("share", _log(1000 * digits // max(1, size))), _code("tokens", _log(tokens)),
     ]
 
 
-def _stretches(texts: Texts, doc: int, starts: np.ndarray, ends: np.ndarray):
-    """Tokens of one document in stretches with nothing but signs and space between them.
+def _stretches(texts: Texts, doc: int, number: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    """Tokens of one document in stretches of tokens that follow on one another.
 
     Yields lists of (start, end) in code points. ``starts`` and ``ends`` are byte offsets.
     """
     base = texts.offsets[doc]
     raw = texts.data[base:texts.offsets[doc + 1]]
     heads = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
-    letters = np.concatenate(([0], np.cumsum(_RUN[raw] | (raw >= 0x80))))
-    a, b = starts - base, ends - base
-    held: list[tuple[int, int]] = []
-    for k in range(len(a)):
-        if held and letters[a[k]] > letters[b[k - 1]]:
-            yield held
-            held = []
-        held.append((int(heads[a[k]]), int(heads[b[k]])))
-    if held:
-        yield held
+    a, b = heads[starts - base], heads[ends - base]
+    cuts = np.flatnonzero(np.diff(number) > 1) + 1
+    for x, y in zip(np.split(a, cuts), np.split(b, cuts)):
+        yield list(zip(x.tolist(), y.tolist()))
 
 
 def scan_slice(texts: Texts):
@@ -151,7 +191,7 @@ def scan_slice(texts: Texts):
     keep = he - hs >= 16
     hs, he = hs[keep], he[keep]
     hdoc = np.searchsorted(texts.offsets, hs, "right") - 1
-    ts, te, tdoc = possible(texts)
+    number, ts, te, tdoc, odd = near(texts)
     digits = np.concatenate(([0], np.cumsum(_DIGIT[texts.data])))
     signs = np.zeros(256, dtype=bool)
     signs[[0x3A, 0x3D]] = True
@@ -159,6 +199,7 @@ def scan_slice(texts: Texts):
     o = texts.offsets
     count = len(texts)
     hcut, tcut = np.searchsorted(hdoc, np.arange(count + 1)), np.searchsorted(tdoc, np.arange(count + 1))
+    ocut = np.searchsorted(odd, np.arange(count + 1))
     for i in range(count):
         has_token, has_hex = tcut[i + 1] > tcut[i], hcut[i + 1] > hcut[i]
         if not (has_token or has_hex or marked[o[i + 1]] > marked[o[i]]):
@@ -173,8 +214,13 @@ def scan_slice(texts: Texts):
         if has_hex:
             heads = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
             spans = [(int(heads[a - o[i]]), int(heads[b - o[i]])) for a, b in zip(hs[hcut[i]:hcut[i + 1]], he[hcut[i]:hcut[i + 1]])]
-        stretches = list(_stretches(texts, i, ts[tcut[i]:tcut[i + 1]], te[tcut[i]:tcut[i + 1]])) if has_token else []
-        yield text, base_spans(text, spans), stretches, (len(text), int(digits[o[i + 1]] - digits[o[i]]), int(tcut[i + 1] - tcut[i]))
+        stretches = list(_stretches(texts, i, number[tcut[i]:tcut[i + 1]], ts[tcut[i]:tcut[i + 1]], te[tcut[i]:tcut[i + 1]])) if has_token else []
+        yield text, base_spans(text, spans), stretches, (len(text), int(digits[o[i + 1]] - digits[o[i]]), int(ocut[i + 1] - ocut[i]))
+
+
+def values(text: str, spans) -> list[tuple[str, int, int]]:
+    """Base spans without the name and sign of an assignment."""
+    return [(k, ASSIGN.match(text, a).start(1) if k == "assign" else a, b) for k, a, b in spans]
 
 
 def _labels(stretch, spans) -> list[int]:
@@ -204,7 +250,10 @@ class Field:
         by: dict[int, list] = {}
         for x, y in sequences:
             by.setdefault(len(y), []).append((x, y))
-        groups = [(np.array([x for x, _ in g]), np.array([y for _, y in g])) for g in by.values()]
+        groups = []
+        for length, g in by.items():
+            step = max(1, SLAB // length)
+            groups += [(np.array([x for x, _ in g[k:k + step]]), np.array([y for _, y in g[k:k + step]])) for k in range(0, len(g), step)]
         total = sum(len(y) for _, y in groups)
         if not total:
             self.first[OUT] = 1e6
@@ -237,7 +286,8 @@ class Field:
         p = np.exp(alpha + beta - z[:, None, None])
         want = np.eye(3)[y]
         diff = (want - p) / total
-        np.add.at(ge, x.reshape(-1), np.repeat(diff.reshape(-1, 3), x.shape[2], axis=0))
+        for tag in range(3):
+            ge[:, tag] += np.bincount(x.reshape(-1), np.repeat(diff[:, :, tag].reshape(-1), x.shape[2]), WIDTH)
         gf += diff[:, 0].sum(axis=0)
         for t in range(1, length):
             pair = np.exp(alpha[:, t - 1, :, None] + move[None] + (e[:, t] + beta[:, t])[:, None, :] - z[:, None, None])
@@ -286,6 +336,7 @@ def train(docs: DataFrame, most: int = MAX_TRAIN, most_runs: int = MAX_RUNS) ->
                     if got is None:
                         continue
                     text, spans, stretches, file = got
+                    spans = values(text, spans)
                     ranked = sorted(stretches, key=lambda s: (not any(_labels(s, spans)), zlib.crc32(str(s[0]).encode())))
                     for stretch in ranked[:most_runs]:
                         stretch = stretch[:64]

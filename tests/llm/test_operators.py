@@ -96,6 +96,27 @@ def test_secret_base_spans_and_added_ones(spark):
     assert sum(got[i].n_crf for i, t in enumerate(texts) if t and t.startswith("w") and " n " in t) == 0
 
 
+def test_windows_hold_words_and_short_tokens():
+    texts = ["", "w1 one two three log in with P@ssw0rd!2024 then four five six", "my credential is QxZkVjWpRtBnMLsD ok", "w1 w2 plain words only w3", "the password: é abc"]
+    got = list(secret_scan.scan_slice(texts_from(texts)))
+    chains = [[[g[0][a:b] for a, b in s] for s in g[2]] if g else [] for g in got]
+    assert chains == [[], [["in", "with", "P", "ssw0rd", "2024", "then", "four"]], [["my", "credential", "is", "QxZkVjWpRtBnMLsD", "ok"]], [], [["the", "password", "abc"]]]
+    alone = [list(secret_scan.scan_slice(texts_from([t])))[0] for t in texts]
+    assert alone == got  # whatever else is in the slice
+
+
+def test_keys_of_letters_alone_are_found(spark):
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    key = lambda: "".join(rng.choice(letters) for _ in range(18))
+    texts = [f"{prose(i, 12)} " + rng.choice([f"token='{key()}'", f"api_key='{key()}'", f"the secret life {i} of", f"a={i}", "title='International'"]) + f" {prose(i + 1, 9)}" for i in range(160)]
+    field = secret_scan.train(secret_scan.documents(table(spark, texts)))
+    plain = f"w1 w2 credential='{key()}' w5 w3"
+    got = secret_scan.find(secret_scan.documents(table(spark, [plain, "w1 the secret of w2 w3 key words"])), field).collect()
+    spans = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in got}
+    assert spans == {0: [("crf", 18, 36)], 1: []}
+
+
 def test_added_spans_beside_base_spans():
     class Always(secret_scan.Field):
         def decode(self, x):
