@@ -1,4 +1,4 @@
-"""Substring deduplication over a token graph whose repeated paths are compacted.
+"""Substring deduplication over the windows of a token graph, joined in runs to spans.
 
 Every window of ``WINDOW`` words is an edge of a De Bruijn graph: it leads from the node of its
 first words to the node of its last ones. Three steps keep the graph to what can repeat:
@@ -10,8 +10,9 @@ first words to the node of its last ones. Three steps keep the graph to what can
    once; one of a window that it repeats inside itself counts twice.
 2. Edges. Windows with a repeated anchor become rows (96-bit edge hash, document, start). A
    grouping finds each edge's first source coordinate, a join gives it to all occurrences.
-3. Paths. Occurrences in a row whose first coordinates run in a row too have no branch between
-   them and become one span with one source. Spans that meet cover words together.
+3. Paths. Occurrences in a row whose first coordinates run in a row too become one span with one
+   source, also through a branch: nodes and their degrees are not built. Spans that meet cover
+   words together.
 
 Groupings combine before the shuffle and joins back can be split by key, so a passage in a
 third of all documents costs no single task. Texts travel compressed, dealt by document once;
