@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import frames, jaccard, mixing, outliers, packing, personal, secret_scan, sketches, substrings, toxicity
+from . import collocations, frames, jaccard, maxent, mixing, outliers, packing, personal, secret_scan, sketches, substrings, toxicity, whitening
 from .common import read_table
 from .registry import QUERIES, SQL, query  # noqa: F401
 
@@ -90,6 +90,60 @@ def op10(spark, folder):
     return mixing.mixed(read_table(spark, folder, "documents"), mixing.LEVELS, mixing.WEIGHTS)
 
 
+@query("op11_embedding_whitening")
+def op11(spark, folder):
+    return whitening.whitened(read_table(spark, folder, "embeddings"))
+
+
+OP12_SQL = rf"""
+with recursive pieces as (
+  select coalesce(lang, 'und') lang, regexp_extract_all(unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') w
+  from documents),
+places as (select lang, w, unnest(range(1, len(w) + 1)) i from pieces where len(w) > 0),
+counts as (
+  select lang, k::int k, array_to_string(w[i:i + k - 1], ' ') g, w[i:i + k - 1] p, count(*)::bigint a
+  from places, range(1, {collocations.LONGEST + 1}) s(k) where i + k - 1 <= len(w) group by all having count(*) >= {collocations.LEAST}),
+totals as (select lang, count(*)::bigint n from places group by lang),
+cuts as (
+  select c.lang, c.k, c.g, c.p, c.a, f.a l, r.a r, j, (2000000 * c.a::hugeint) // (f.a::hugeint + r.a::hugeint) score
+  from (select *, unnest(range(1, k)) j from counts where k > 1) c
+  join counts f on f.lang = c.lang and f.k = c.j and f.g = array_to_string(c.p[1:c.j], ' ')
+  join counts r on r.lang = c.lang and r.k = c.k - c.j and r.g = array_to_string(c.p[c.j + 1:c.k], ' ')),
+cand as (select * from cuts qualify row_number() over (partition by lang, g order by score, j) = 1),
+inner_ as (
+  select lang, array_to_string(p[s:s + z - 1], ' ') g, max(a) most
+  from cand, range(1, {collocations.LONGEST}) q(s), range(2, {collocations.LONGEST}) t(z) where z < k and s + z - 1 <= k group by all),
+edge as (select lang, g, p, array_to_string(p[1:3], ' ') tail, array_to_string(p[2:4], ' ') head from counts where k = {collocations.LONGEST}),
+ins as (select lang, head node, min(g) e, count(*) i from edge group by all),
+outs as (select lang, tail node, min(g) f, count(*) o from edge group by all),
+links as (select lang, e, f from ins join outs using (lang, node) where i = 1 and o = 1),
+walks as (
+  select lang, g start, g cur, 1::bigint n from edge
+  union all select w.lang, w.start, x.f, w.n + 1 from walks w join links x on x.lang = w.lang and x.e = w.cur and x.f <> w.start),
+ahead as (select lang, start g, max(n) n from walks group by all),
+behind as (select lang, cur g, max(n) n from walks group by all),
+rings as (select distinct w.lang, w.start g from walks w join links x on x.lang = w.lang and x.e = w.cur and x.f = w.start),
+sizes as (select e.lang, e.p, {collocations.LONGEST - 1} + case when r.g is null then a.n + b.n - 1 else a.n end words
+  from edge e join ahead a using (lang, g) join behind b using (lang, g) left join rings r using (lang, g)),
+held as (
+  select lang, array_to_string(p[s:s + z - 1], ' ') g, max(words) path_words
+  from sizes, range(1, {collocations.LONGEST}) q(s), range(2, {collocations.LONGEST + 1}) t(z) where s + z - 1 <= {collocations.LONGEST} group by all),
+left_ as (select c.* from cand c left join inner_ i on i.lang = c.lang and i.g = c.g where i.most is null or {collocations.SHARE[0]} * i.most < {collocations.SHARE[1]} * c.a)
+select lang, row_number() over (partition by lang order by score desc, a desc, g)::bigint rank, g phrase, a, l, r, n, score::bigint score, coalesce(path_words, k)::bigint path_words
+from left_ join totals using (lang) left join held using (lang, g) qualify row_number() over (partition by lang order by score desc, a desc, g) <= {collocations.TOP}
+"""
+
+
+@query("op12_phrase_collocations", OP12_SQL)
+def op12(spark, folder):
+    return collocations.mine(read_table(spark, folder, "documents"))
+
+
+@query("op13_language_model")
+def op13(spark, folder):
+    return maxent.scored(read_table(spark, folder, "documents"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, folder):
     return corpus_pipeline.run(spark, folder)
