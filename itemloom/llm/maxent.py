@@ -43,8 +43,8 @@ CLASSES = NEAR_CLASSES + MID_CLASSES + 1
 NEAR = NEAR_CLASSES * CLASS_WORDS
 CLASS_BITS, WORD_BITS = 15, 14  # rows of the two weight tables
 ROUNDS = 3
-RATE, START, DECAY = 0.06, 1.0, 1e-4
-BATCH = 8192
+RATE, START = 0.2, 1.0
+BATCH = 4096
 UNIT, BLOCK = 2048.0, 2048  # a move is sent in 1/UNIT; rows of a block
 NONE = np.float32(-1e4)
 BEFORE, END = U(0x243F6A8885A308D3), U(0x13198A2E03707344)
@@ -188,26 +188,40 @@ def _rows(tokens: Tokens, cls: np.ndarray):
     return top, inner
 
 
-def _logs(bias: np.ndarray, table: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    """Natural log-probabilities over the columns."""
-    x = table[rows[0]] + bias
+def _scores(bias: np.ndarray, table: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    """Scores of all columns; weights stay far below what an exponential of 32 bits can hold."""
+    x = table.take(rows[0], axis=0)
+    x += bias
+    more = np.empty_like(x)
     for r in rows[1:]:
-        x += table[r]
-    x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
+        x += table.take(r, axis=0, out=more, mode="clip")
     return x
 
 
+def _pull(x: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Gradient of the log-likelihood of the columns ``of`` by the scores, in place of them."""
+    np.exp(x, out=x)
+    x /= -x.sum(axis=1, keepdims=True)
+    x[np.arange(len(of)), of] += 1
+    return x
+
+
+def _logs(x: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """log10 of the share of the columns ``of``; the scores are used up."""
+    own = x[np.arange(len(of)), of]
+    return (own - np.log(np.exp(x, out=x).sum(axis=1))) / np.log(10)
+
+
 def _step(table: np.ndarray, past: np.ndarray, seen: np.ndarray, rows: list[np.ndarray], pull: np.ndarray) -> None:
-    """One adaptive gradient step on the rows named, all columns at once."""
+    """One gradient step on the rows named; a row's rate falls with the squares it has met."""
     for r in rows:
-        order = np.argsort(r, kind="stable")
+        order = np.argsort(r.astype(np.uint16), kind="stable")
         s = r[order]
         first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-        u, g = s[first], np.add.reduceat(pull[order], first, axis=0)
-        g -= DECAY * np.diff(np.append(first, len(s)))[:, None] * table[u]
-        past[u] += g * g
-        table[u] += RATE * g / np.sqrt(past[u] + START)
+        u, g = s[first], np.add.reduceat(pull.take(order, axis=0), first, axis=0)
+        past[u] += np.einsum("ij,ij->i", g, g)
+        g *= (RATE / np.sqrt(past[u] + START))[:, None]
+        table[u] += g
         seen[u] += np.diff(np.append(first, len(s)))
 
 
@@ -221,14 +235,12 @@ def learn(lex: Lexicon, tables: list[np.ndarray], pasts: list[np.ndarray], seen:
         s = slice(a, a + BATCH)
         c = cls[s]
         rows = [r[s] for r in top]
-        pull = -np.exp(_logs(lex.class_bias, tables[0], rows))
-        pull[np.arange(len(c)), c] += 1
+        pull = _pull(_scores(lex.class_bias, tables[0], rows), c)
         near = np.flatnonzero(slot[s] >= 0)
         _step(tables[0], pasts[0], seen[0], rows, pull)
         if len(near):
             rows = [r[s][near] for r in inner]
-            pull = -np.exp(_logs(lex.word_bias[c[near]], tables[1], rows))
-            pull[np.arange(len(near)), slot[s][near]] += 1
+            pull = _pull(_scores(lex.word_bias[c[near]], tables[1], rows), slot[s][near])
             _step(tables[1], pasts[1], seen[1], rows, pull)
 
 
@@ -259,7 +271,7 @@ def _moved(docs: DataFrame, words, weights) -> DataFrame:
 
     def run(batches):
         tables = [t.copy() for t in weights.value]
-        pasts, seen = _empty(), [np.zeros(len(t), dtype=np.int64) for t in tables]
+        pasts, seen = ([np.zeros(len(t), dtype=kind) for t in tables] for kind in (np.float32, np.int64))
         for batch in batches:
             for part in slices(batch, "text"):
                 learn(words.value, tables, pasts, seen, tokens_of(part.column("text")))
@@ -305,10 +317,10 @@ def log_probabilities(lex: Lexicon, tables: list[np.ndarray], tokens: Tokens, at
     for a in range(0, len(at), BATCH):
         s = slice(a, a + BATCH)
         c = cls[s]
-        out[s] += _logs(lex.class_bias, tables[0], [r[s] for r in top])[np.arange(len(c)), c] / np.log(10)
+        out[s] += _logs(_scores(lex.class_bias, tables[0], [r[s] for r in top]), c)
         near = np.flatnonzero(slot[s] >= 0)
         if len(near):
-            out[a + near] += _logs(lex.word_bias[c[near]], tables[1], [r[s][near] for r in inner])[np.arange(len(near)), slot[s][near]] / np.log(10)
+            out[a + near] += _logs(_scores(lex.word_bias[c[near]], tables[1], [r[s][near] for r in inner]), slot[s][near])
     return out
 
 

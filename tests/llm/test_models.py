@@ -224,19 +224,18 @@ def test_gradient_steps_equal_plain_loops():
                          np.linspace(-1, 0, maxent.CLASSES).astype(np.float32), np.zeros((maxent.NEAR_CLASSES, maxent.CLASS_WORDS), np.float32), 0.0)
     hashes = np.array([3, 5, 9, 3, 3], np.uint64)
     tokens = maxent.Tokens(hashes, np.zeros(5, np.int64), np.arange(5), 1)
-    tables, pasts, seen = maxent._empty(), maxent._empty(), [np.zeros(1 << 15, np.int64), np.zeros(1 << 14, np.int64)]
+    tables, (pasts, seen) = maxent._empty(), ([np.zeros(1 << b, kind) for b in (15, 14)] for kind in (np.float32, np.int64))
     maxent.learn(lex, tables, pasts, seen, tokens)
     cls = np.array([0, 0, maxent.CLASSES - 1, 0, 0])
     top, _ = maxent._rows(tokens, cls)
     share = np.exp(lex.class_bias) / np.exp(lex.class_bias).sum()
     want = np.zeros_like(tables[0])
-    past = np.zeros_like(want)
+    past = np.zeros((len(want), 1))
     for rows in top:  # one batch: the same gradient for all four features, one step for each
         pull = np.zeros_like(want)
         for t, r in enumerate(rows):
             pull[r] += (np.arange(maxent.CLASSES) == cls[t]) - share
-            pull[r] -= maxent.DECAY * want[r]
-        past += pull * pull
+        past += (pull * pull).sum(axis=1, keepdims=True)
         want += maxent.RATE * pull / np.sqrt(past + maxent.START)
     assert np.abs(want - tables[0]).max() < 1e-4 and seen[0].sum() == 20
 
