@@ -38,7 +38,7 @@ TOP = 2000
 SHARE = (100, 80)  # a phrase goes if SHARE[0] * f(longer) >= SHARE[1] * f(phrase)
 FEWEST_BITS, MOST_BITS, BLOCK_BITS = 20, 27, 16
 NEEDED_BITS = 20
-ROWS = 400_000  # rows of a task before they are added up
+ROWS = 120_000  # rows of a task before they are added up
 NO_LANG = "und"
 
 BREAKS = np.zeros(256, dtype=bool)
