@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .choices import inspect_choices
+from .choices import bound, inspect_choices
 
 MATH = r"(?<!\$)\$(?!\$)(?:[^$\\]++|\\.)++\$(?!\$)"
 MATH_IN_LINE = r"(?<!\$)\$(?!\$)(?:[^$\\\n]++|\\[^\n])++\$(?!\$)"
@@ -102,7 +102,10 @@ def normalize_block(text: Column, keep_images: bool = True) -> Column:
 
 def canonical_options(text: Column) -> Column:
     """A complete option set on lines of its own under canonical labels; other texts stay."""
-    c = inspect_choices(text)
+    return bound(inspect_choices(text), lambda c: _relabelled(text, c))
+
+
+def _relabelled(text: Column, c: Column) -> Column:
     lines = F.transform(c["options"], lambda o, i: F.concat(F.lit("$\\displaystyle "), F.char(i + 65), F.lit(".$ "), F.regexp_replace(o, r"(?U)^[)）]\s*", "")))
     head = F.regexp_replace(c["stem"], r"(?U)\s+$", "")
     built = F.concat(F.when(head != "", F.concat(head, F.lit("\n\n"))).otherwise(""), F.array_join(lines, "\n"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import marks as M
-from ..functions.choices import empty_options, has_fill_mark, has_subquestions, inspect_choices
+from ..functions.choices import empty_options, has_fill_mark, has_subquestions, with_choices
 from ..functions.text import content_units, dense_noise, visible_length
 from ..scale import dense_chunk, join_counted, row_number, scan
 from ..session import materialise
@@ -62,7 +62,7 @@ def late_solution_marks(blocks: DataFrame) -> DataFrame:
 def option_anomalies(blocks: DataFrame) -> DataFrame:
     """Choice items with one to three option labels, or with bare formulas only."""
     s = F.coalesce("section", F.lit(""))
-    rows = stems_of(blocks).filter(s.rlike(M.CHOICE_SECTION)).withColumn("c", inspect_choices("text"))
+    rows = with_choices(stems_of(blocks).filter(s.rlike(M.CHOICE_SECTION)))
     exact = s.rlike("单选|多选|不定项")
     open_ = ~F.col("c.complete_known") & (exact | F.col("c.blank") | F.col("c.looks_like"))
     few = F.length("c.labels").between(1, 3)
@@ -157,8 +157,7 @@ def _stage(blocks: DataFrame, per_run, decide) -> DataFrame:
 
 def repair_sections(blocks: DataFrame) -> DataFrame:
     """Move items whose section heading drifted, by majority evidence inside each run."""
-    c = inspect_choices("text")
-    rows = blocks.withColumn("_c", c)
+    rows = with_choices(blocks, name="_c")
     known = F.col("_c.complete_known")
     pics = F.regexp_count("text", F.lit(r"!\[[^\]]*\]\([^)]*\)")) >= 3
     rows = materialise(rows.select(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import marks as M
-from ..functions.choices import inspect_choices, item_type, section_type
+from ..functions.choices import item_type, section_type, with_choices
 from ..functions.passes import canonical_options, ensure_fill_blank, normalize_block
 from ..functions.text import REVIEW_MARKER, content_units, fingerprint
 from ..operators import dedup, pairing, predicates, quality
@@ -41,7 +41,7 @@ def assemble(blocks: DataFrame, whitelist: bool = False) -> DataFrame:
     joined = rows.groupBy("doc", "idx").agg(
         *[F.first(c).alias(c) for c in keep],
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_s") != "", F.struct("solution_idx", "_s")))), lambda x: x["_s"]), "\n\n").alias("solution"))
-    typed = materialise(joined.withColumn("_c", inspect_choices("text")))
+    typed = materialise(with_choices(joined, name="_c"))
     short = section_type(F.col("text"), F.col("section"), F.col("number"), F.col("_c"))
     typed = typed.withColumn("type", F.concat(short, F.lit("题"))).withColumn("body", bare(F.col("text")))
     typed = materialise(typed.drop("_c", "text"))
@@ -57,7 +57,7 @@ def preview(items: DataFrame, bank: DataFrame) -> DataFrame:
     rows = (rows.withColumn("solution", F.when(F.coalesce("solution", F.lit("")) == "", F.coalesce("_s.solution", F.lit(""))).otherwise(F.col("solution")))
             .withColumn("body", F.col("_s.stem")).drop("_s"))
     if "type" not in rows.columns:
-        rows = rows.withColumn("_c", inspect_choices("body")).withColumn("type", item_type(F.col("body"), F.col("_c"))).drop("_c")
+        rows = with_choices(rows, "body", "_c").withColumn("type", item_type(F.col("body"), F.col("_c"))).drop("_c")
     rows = materialise(rows.withColumn("fingerprint", fingerprint(F.col("body"))).withColumn("row", F.concat_ws("-", "doc", F.lpad(F.col("idx").cast("string"), 9, "0"))))
     return dedup.batch_status(rows, bank, "row")
 
@@ -76,7 +76,7 @@ def gate(items: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFrame]:
 def recovered_blocks(expected: DataFrame, blocks: DataFrame, anchors: DataFrame | None = None, stem: bool = True) -> DataFrame:
     """Expected (doc, number) with ``state``: ok, or why the recovered block is refused."""
     one = blocks.groupBy("doc", "number").agg(F.count("*").alias("_n"), F.min("text").alias("text"))
-    j = expected.join(one, ["doc", "number"], "left").withColumn("_c", inspect_choices(F.coalesce("text", F.lit(""))))
+    j = with_choices(expected.join(one, ["doc", "number"], "left"), F.coalesce("text", F.lit("")), "_c")
     images = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"!\[[^\]]*\]\([^)]*\)"))
     visible = content_units(F.col("text")) - 40 * images
     thin = (visible < MIN_VISIBLE) & ~((images > 0) & (visible >= MIN_WITH_IMAGE))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import marks as M
-from ..functions.choices import empty_options, has_subquestions, inspect_choices, item_type, section_type
+from ..functions.choices import empty_options, has_subquestions, item_type, section_type, with_choices
 from ..functions.text import REVIEW_MARKER, content_units, dense_noise, visible_length
 from ..operators import audit as A, predicates as P, quality as Q
 from ..operators.pairing import pair_by_coordinate
@@ -54,7 +54,7 @@ def _(t):
 @query("choice_options", "X6 X28", W + """SELECT doc, idx, flag = 'A' AS complete, CASE WHEN flag = 'A' THEN 'a' || split_part(split_part(text, 'A. a', 2), ' ', 1) END AS first_option,
  CASE WHEN flag = 'A' THEN split_part(text, chr(10), 1) ELSE text END AS stem FROM paper WHERE zone = 'stem'""")
 def _(t):
-    b = paper_blocks(t).filter("zone = 'stem'").withColumn("c", inspect_choices("text"))
+    b = with_choices(paper_blocks(t).filter("zone = 'stem'"))
     return b.select("doc", "idx", F.col("c.complete").alias("complete"), F.get("c.options", 0).alias("first_option"), F.col("c.stem").alias("stem"))
 
 
@@ -68,7 +68,7 @@ def _(t):
 @query("item_types", "X9", W + """SELECT doc, idx, CASE WHEN zone = 'solution' THEN '解答题' WHEN flag = 'A' THEN '单选题' WHEN flag = 'N' THEN '填空题' ELSE '单选题' END AS kind,
  CASE WHEN zone = 'stem' AND flag IN ('A', 'R') THEN '单选' WHEN zone = 'stem' THEN '填空' ELSE '解答' END AS short_kind FROM paper""")
 def _(t):
-    b = paper_blocks(t).withColumn("c", inspect_choices("text"))
+    b = with_choices(paper_blocks(t))
     return b.select("doc", "idx", item_type(F.col("text"), F.col("c")).alias("kind"),
                     section_type(F.col("text"), F.lit("综合"), F.col("number"), F.col("c")).alias("short_kind"))
 

@@ -205,3 +205,12 @@ def test_whole_order_queries_read_every_row(spark, tmp_path):
     plan = QUERIES["option_verdicts"].run(spark, str(tmp_path))
     assert {r.letter: r.correct for r in plan.collect()} == {"A": True, "B": False, "C": True, "D": False}
     assert "l_linenumber" not in "".join(x for x in plan._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Filter" in x and "<= 4" in x)
+
+
+def test_option_inspection_keeps_its_plan_small(spark):
+    from itemloom.functions.choices import with_choices
+    df = spark.createDataFrame([("1. 题 ( ) A. x B. y C. z D. w",), ("无",), (None,)], "text string")
+    out = with_choices(df)
+    both = out.filter("c.complete and c.blank").select("text", "c.options", "c.stem")
+    assert len(both._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+    assert [(r.options, r.stem) for r in both.collect()] == [(["x", "y", "z", "w"], "1. 题 ( )")]
