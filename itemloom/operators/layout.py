@@ -145,6 +145,116 @@ def _first_hash(n: int):
     return run
 
 
+# Window lengths, the step between their starts, and how much of an item they cover.
+WINDOW_LENGTHS, WINDOW_STEP, LAST_START, KEY_LENGTH = (64, 48, 40, 32), 16, 96, 192
+CORE = 16  # characters of a fingerprint; a window of 32 holds 17 of them and shares their least with every page it is on
+SHORT_BITS = 20
+
+
+def page_key(text: str) -> tuple[str, str]:
+    """Letters and digits of the NFKC form in lower case, and the ideographs among them."""
+    import unicodedata
+    key = "".join(c for c in unicodedata.normalize("NFKC", text or "").lower() if c.isalnum())
+    return key, "".join(c for c in key if "\u3400" <= c <= "\u9fff")
+
+
+def _least(h, span: int):
+    """Places whose value is the least of ``span`` neighbours for some window (the last of equal ones)."""
+    import numpy as np
+    if len(h) < span:
+        return np.zeros(0, np.int64)
+    view = np.lib.stride_tricks.sliding_window_view(h, span)
+    return np.unique(np.arange(len(view)) + span - 1 - view[:, ::-1].argmin(axis=1))
+
+
+def locate_by_windows(items: DataFrame, pages: DataFrame) -> DataFrame:
+    """The page an item is on, by votes of its windows: item, page, votes.
+
+    Windows of 64 to 32 characters from the first part of an item vote for the page that alone
+    holds them; an item is placed if all votes name one page, so a misread character or a
+    differing head costs some windows only. Ideographs make a key of their own, which survives
+    formulas read differently. An item of fewer than 32 characters votes with its whole key.
+
+    Pages are not compared with items. Both sides select fingerprints by one rule (the least of
+    17 runs of 16 characters), so an item's window and every page that holds it share one; the
+    characters decide. Runs for short items are made for the lengths that occur, sieved by a
+    table of bits of fixed size before they leave the task.
+    """
+    spark = items.sparkSession
+    keys = "long, kind int, key string"
+
+    def keyed(name):
+        def run(batches):
+            for pdf in batches:
+                rows = [(i, kind, key) for i, text in zip(pdf.iloc[:, 0], pdf.iloc[:, 1]) for kind, key in enumerate(page_key(text)) if key]
+                yield pd.DataFrame(rows, columns=[name, "kind", "key"])
+        return run
+
+    i = materialise(items.select(F.col("item").cast("long"), F.regexp_replace(F.coalesce("text", F.lit("")), HEAD_NUMBER, "").alias("text")).mapInPandas(keyed("item"), f"item {keys}"))
+    p = materialise(pages.select(F.col("page").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(keyed("page"), f"page {keys}"))
+    long = i.groupBy("item").agg((F.max(F.length("key")) >= WINDOW_LENGTHS[-1]).alias("_long"))
+    i = materialise(i.join(long, "item"))
+
+    def windows(batches):
+        for pdf in batches:
+            rows = []
+            for item, kind, key in zip(pdf["item"], pdf["kind"], pdf["key"]):
+                key = key[:KEY_LENGTH]
+                found = {key[s:s + n] for n in WINDOW_LENGTHS for s in range(0, min(len(key) - n, LAST_START) + 1, WINDOW_STEP)}
+                for w in found:
+                    h = _roll(w[:WINDOW_LENGTHS[-1]], CORE).view("uint64")
+                    at = len(h) - 1 - int(h[::-1].argmin())
+                    rows.append((item, kind, w, at, int(h[at].view("int64"))))
+            yield pd.DataFrame(rows, columns=["item", "kind", "w", "off", "h"])
+
+    def prints(batches):
+        for pdf in batches:
+            for page, kind, key in zip(pdf["page"], pdf["kind"], pdf["key"]):
+                h = _roll(key, CORE).view("uint64")
+                at = _least(h, WINDOW_LENGTHS[-1] - CORE + 1)
+                yield pd.DataFrame({"page": [page] * len(at), "kind": [kind] * len(at), "at": at, "h": h[at].view("int64")})
+
+    asked = materialise(i.filter("_long").mapInPandas(windows, "item long, kind int, w string, off long, h long"))
+    marks = p.mapInPandas(prints, "page long, kind int, at long, h long")
+    met = asked.select("kind", "w", "off", "h").distinct().join(marks, ["kind", "h"]).select("kind", "w", "page", (F.col("at") - F.col("off")).alias("start"))
+    held = (met.filter("start >= 0").join(p, ["page", "kind"]).filter(F.substr("key", (F.col("start") + 1).cast("int"), F.length("w")) == F.col("w"))
+            .groupBy("kind", "w").agg(F.min("page").alias("page"), F.max("page").alias("_other")).filter("page = _other").drop("_other"))
+
+    short = i.filter("NOT _long AND kind = 0").select("item", "key")
+    sizes = sorted(r.n for r in short.select(F.length("key").alias("n")).distinct().collect())  # fewer than 32 numbers
+    votes = asked.join(held, ["kind", "w"]).select("item", "page")
+    if sizes:
+        def own(batches):
+            for pdf in batches:
+                yield pd.DataFrame({"item": pdf["item"], "key": pdf["key"], "n": pdf["key"].str.len(), "h": [int(_roll(k, len(k))[0]) for k in pdf["key"]]})
+
+        wanted = materialise(short.mapInPandas(own, "item long, key string, n long, h long"))
+        flags = np_flags([r.b for r in wanted.select(F.shiftrightunsigned("h", 64 - SHORT_BITS).alias("b")).distinct().collect()])  # at most 2^SHORT_BITS
+
+        def runs(batches):
+            import numpy as np
+            for pdf in batches:
+                for page, key in zip(pdf["page"], pdf["key"]):
+                    for n in sizes:
+                        h = np.unique(_roll(key, n))
+                        h = h[flags[(h.view("uint64") >> np.uint64(64 - SHORT_BITS)).astype("int64")]]
+                        if len(h):
+                            yield pd.DataFrame({"page": [page] * len(h), "n": [n] * len(h), "h": h})
+
+        hits = wanted.join(p.filter("kind = 0").mapInPandas(runs, "page long, n long, h long"), ["n", "h"]).select("item", F.col("key").alias("w"), "page")
+        sure = hits.join(p.filter("kind = 0"), "page").filter(F.contains("key", F.col("w")))
+        votes = votes.unionByName(sure.groupBy("item").agg(F.min("page").alias("page"), F.max("page").alias("_other")).filter("page = _other").drop("_other"))
+    per = votes.groupBy("item").agg(F.min("page").alias("page"), F.max("page").alias("_other"), F.count("*").alias("votes"))
+    return per.filter("page = _other").drop("_other")
+
+
+def np_flags(places: list[int]):
+    import numpy as np
+    out = np.zeros(1 << SHORT_BITS, dtype=bool)
+    out[places] = True
+    return out
+
+
 def align_pages(pages: DataFrame, docs: DataFrame) -> DataFrame:
     """Start of each page in its document's text, where the first block of every page occurs
     once and the starts rise; other documents are left to review (``aligned`` false).

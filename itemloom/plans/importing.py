@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ..functions.choices import item_type, section_type, with_choices
 from ..functions.passes import canonical_options, ensure_fill_blank, normalize_block
 from ..functions.text import REVIEW_MARKER, content_units, fingerprint
 from ..operators import dedup, pairing, predicates, quality
-from ..operators.layout import signature
+from ..operators.layout import HEAD_NUMBER, signature
 from ..operators.sequence import missing_in_range
 from ..session import materialise
 from .segment import segment
@@ -95,11 +97,139 @@ def recovered_blocks(expected: DataFrame, blocks: DataFrame, anchors: DataFrame
                         .when((F.col("state") == "ok") & F.col("_o").isNotNull() & ~close, "anchor_differs").otherwise(F.col("state"))).drop("_o", "_r")
 
 
+# Least visible characters, overlap, its place in the recovered text, boundary run, seeds, shares.
+TAIL_KEY, TAIL_OVERLAP, TAIL_PLACE, TAIL_RUN, TAIL_SEED, TAIL_SHARE, TAIL_BEFORE = 80, 64, 64, 24, 48, 0.90, 32
+TAIL_IMAGE = r"!\[[^\]]*\]\([^)]*\)|!\[\[[^\]\n]*\]\]|<img\b[^>]*>"
+TAIL_MASKED = TAIL_IMAGE + r"|</?[A-Za-z][A-Za-z0-9:-]*(?:\s[^>\n]*)?>|\\(?:left|right|displaystyle|textstyle|scriptstyle|scriptscriptstyle)\b"
+
+
+def visible_key(text: str) -> tuple[str, list[int]]:
+    """Digits, Latin letters and ideographs that a reader sees, in NFKC and lower case, and where each stands."""
+    import re
+    import unicodedata
+    text = re.sub(TAIL_MASKED, lambda m: " " * len(m.group(0)), text or "")
+    pairs = [(c, i) for i, raw in enumerate(text) for c in unicodedata.normalize("NFKC", raw).lower()
+             if "0" <= c <= "9" or "a" <= c <= "z" or "\u3400" <= c <= "\u9fff"]
+    return "".join(c for c, _ in pairs), [i for _, i in pairs]
+
+
+def _prefixes(key: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over the prefixes of a key, and what shifts a run's sum to its hash."""
+    codes = np.frombuffer(key.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    base = 0x9E3779B97F4A7C15
+    forth, back = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(codes), f, dtype=np.uint64)))) for f in (base, pow(base, -1, 1 << 64)))
+    return np.concatenate((np.zeros(1, np.uint64), np.cumsum(codes * forth[:-1]))), back
+
+
+def longest_overlap(a: str, b: str) -> tuple[int, int, int]:
+    """Length and places of the longest run both keys hold, by halving over lengths of hashed runs."""
+    (pa, ba), (pb, bb) = _prefixes(a), _prefixes(b)
+    runs = lambda p, back, n: (p[n:] - p[:-n]) * back[:len(p) - n]
+    low, high, best = 0, min(len(a), len(b)), (0, 0, 0)
+    while low < high:
+        n = (low + high + 1) // 2
+        ha, hb = runs(pa, ba, n), runs(pb, bb, n)
+        hit = np.isin(hb, ha)
+        if hit.any():
+            j = int(hit.argmax())
+            low, best = n, (n, int((ha == hb[j]).argmax()), j)
+        else:
+            high = n - 1
+    n, i, j = best
+    return best if a[i:i + n] == b[j:j + n] else (0, 0, 0)
+
+
+def covered(a: str, b: str, run: int = 8) -> int:
+    """Characters of ``a`` explained by ``b`` in order: runs are extended, and met again behind a difference."""
+    from bisect import bisect_left
+    spots = {}
+    for j in range(len(b) - run + 1):
+        spots.setdefault(b[j:j + run], []).append(j)
+    i = j = total = 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            i, j, total = i + 1, j + 1, total + 1
+            continue
+        while i <= len(a) - run:
+            at = spots.get(a[i:i + run], [])
+            k = bisect_left(at, j)
+            if k < len(at):
+                j = at[k]
+                break
+            i += 1
+        else:
+            break
+    return total
+
+
+def swallowed_from(anchor: str, recovered: str) -> int | None:
+    """Where in ``anchor`` the recovered text of the next number begins, or None without proof of it.
+
+    Needed: one long run both hold once, near the recovered start and behind the first part of
+    the anchor; all that follows explained by the recovered text and the other way round; no
+    image in it. A solution that only quotes the next head keeps its text.
+    """
+    import re
+    a, places = visible_key(anchor)
+    b, _ = visible_key(recovered)
+    if min(len(a), len(b)) < TAIL_KEY:
+        return None
+    size, at, to = longest_overlap(a, b)
+    if size < TAIL_OVERLAP or to > TAIL_PLACE:
+        return None
+    middle = to + (size - TAIL_OVERLAP) // 2
+    if a.count(b[middle:middle + TAIL_OVERLAP]) != 1 or b.count(b[middle:middle + TAIL_OVERLAP]) != 1:
+        return None
+    least = max(TAIL_BEFORE, len(a) // 5)
+    for j in range(min(TAIL_PLACE, len(b) - TAIL_RUN) + 1):
+        i = a.find(b[j:j + TAIL_RUN], least)
+        if i >= 0:
+            n = TAIL_RUN
+            while n < TAIL_SEED and i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                n += 1
+            break
+    else:
+        return None
+    if a.count(b[j:j + n]) != 1 or b.count(b[j:j + n]) != 1:
+        return None
+    tail, rest = a[i:], b[j:]
+    same = covered(tail, rest)
+    if same < TAIL_SHARE * len(tail) or 2 * same < TAIL_SHARE * (len(tail) + len(rest)) or re.search(TAIL_IMAGE, anchor[places[i]:]):
+        return None
+    return places[i]
+
+
 def trim_swallowed_tail(solutions: DataFrame, recovered: DataFrame) -> DataFrame:
-    """Cut a solution where the recovered text of the next number begins inside it."""
-    nxt = recovered.select("doc", (F.col("number") - 1).alias("number"), F.left(F.col("text"), F.lit(24)).alias("_head"))
-    one = nxt.groupBy("doc", "number").agg(F.count("*").alias("_n"), F.min("_head").alias("_head")).filter("_n = 1 AND length(_head) >= 12").drop("_n")
+    """Cut a solution where the text of the next number was swallowed, if the recovered text proves it."""
+    nxt = recovered.select("doc", (F.col("number") - 1).alias("number"), F.regexp_replace("text", HEAD_NUMBER, "").alias("_next"))
+    one = nxt.groupBy("doc", "number").agg(F.count("*").alias("_n"), F.min("_next").alias("_next")).filter("_n = 1").drop("_n")
+
+    @F.pandas_udf("int")
+    def begins(text: pd.Series, following: pd.Series) -> pd.Series:
+        return pd.Series([None if f is None or t is None else swallowed_from(t, f) for t, f in zip(text, following)], dtype="Int32")
+
+    # only a pair whose keys can be long enough reaches Python
+    may = (F.length("text") >= TAIL_KEY) & (F.length("_next") >= TAIL_KEY)
+    j = solutions.join(one, ["doc", "number"], "left").withColumn("_at", F.explode(F.array(begins(F.when(may, F.col("text")), F.when(may, F.col("_next"))))))
+    cut = F.regexp_replace(F.substr("text", F.lit(1), F.col("_at")), r"(?U)\s+$", "")
+    return j.withColumn("trimmed", F.col("_at").isNotNull()).withColumn("text", F.when(F.col("_at").isNotNull(), cut).otherwise(F.col("text"))).drop("_next", "_at")
+
+
+def trim_next_title(solutions: DataFrame, titles: DataFrame) -> DataFrame:
+    """Drop the next unit's title (columns doc, number, title) from the end of a solution.
+
+    It goes if one line alone equals it, as a heading or bold line, and only blank lines follow.
+    """
+    key = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""))
+    one = titles.groupBy("doc", "number").agg(F.min("title").alias("_title"), F.count_distinct("title").alias("_n")).filter("_n = 1").drop("_n")
     j = solutions.join(one, ["doc", "number"], "left")
-    at = F.instr("text", F.col("_head"))
-    once = F.coalesce((at > 1) & (F.expr("locate(_head, text, instr(text, _head) + 1)") == 0), F.lit(False))
-    return j.withColumn("trimmed", once).withColumn("text", F.when(once, F.regexp_replace(F.substr("text", F.lit(1), at - 1), r"(?U)\s+$", "")).otherwise(F.col("text"))).drop("_head")
+    lines = F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n")
+    j = j.withColumn("_lines", lines).withColumn("_want", F.when(key(F.col("_title")) != "", key(F.col("_title"))))
+    strong = lambda x: x.rlike(r"(?U)^\s*(?:#{1,6}\s+\S|\*\*.+\*\*\s*$)")
+    hits = F.filter(F.transform("_lines", lambda x, i: F.when(strong(x) & (key(x) == F.col("_want")), i)), lambda i: i.isNotNull())
+    j = j.withColumn("_hits", hits)
+    at = F.get("_hits", F.lit(0))
+    rest = F.array_join(F.slice("_lines", at + 2, F.size("_lines")), "")
+    gone = F.coalesce((F.size("_hits") == 1) & ~rest.rlike(r"(?U)\S"), F.lit(False))
+    kept = F.regexp_replace(F.array_join(F.slice("_lines", F.lit(1), at), "\n"), r"(?U)\s+$", "")
+    return j.withColumn("untitled", gone).withColumn("text", F.when(gone, kept).otherwise(F.col("text"))).drop("_title", "_lines", "_want", "_hits")

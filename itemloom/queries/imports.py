@@ -157,12 +157,34 @@ def _(t):
     return IM.recovered_blocks(b.select("doc", "number").distinct(), b).select("doc", "number", "state")
 
 
-@query("trimmed_tails", "P14", """SELECT l_orderkey AS doc, l_linenumber AS number, l_linenumber < 7 AS trimmed, 'solution ' || l_linenumber || CASE WHEN l_linenumber < 7 THEN '' ELSE chr(10) || 'x' END AS text FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)""")
+MD = {k: lambda doc, n, k=k, c=c: F.concat(*[F.md5(F.concat_ws("-", doc, n, F.lit(f"{k}{i}"))) for i in range(c)]) for k, c in (("own", 3), ("rec", 4), ("more", 3))}
+TAILS = """WITH d AS (SELECT DISTINCT l_orderkey AS doc, l_linenumber AS number FROM lineitem),
+ t AS (SELECT *, md5(doc || '-' || number || '-own0') || md5(doc || '-' || number || '-own1') || md5(doc || '-' || number || '-own2') AS own,
+ md5(doc || '-' || (number + 1) || '-rec0') || md5(doc || '-' || (number + 1) || '-rec1') || md5(doc || '-' || (number + 1) || '-rec2') || md5(doc || '-' || (number + 1) || '-rec3') AS rec,
+ md5(doc || '-' || number || '-more0') || md5(doc || '-' || number || '-more1') || md5(doc || '-' || number || '-more2') AS more FROM d)"""
+
+
+@query("trimmed_tails", "P14", TAILS + """ SELECT doc, number, number % 4 = 1 AS trimmed, CASE number % 4 WHEN 1 THEN own WHEN 2 THEN own || chr(10) || rec[:40] || ' ' || more WHEN 3 THEN own || chr(10) || rec[:70] || '![](a.png)' || rec[71:] ELSE rec || chr(10) || own END AS text FROM t""")
+def _(t):
+    """A swallowed next solution goes; a quoted head, a tail with an image and a text that begins with the passage stay."""
+    d = t.lineitem.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("number")).distinct()
+    after = F.col("number") + 1
+    own, rec, more = MD["own"]("doc", "number"), MD["rec"]("doc", after), MD["more"]("doc", "number")
+    cases = (F.when(F.col("number") % 4 == 1, F.concat(own, F.lit("\n"), F.left(rec, F.lit(64)), F.lit(" $\\displaystyle $ "), F.substr(rec, F.lit(65))))
+             .when(F.col("number") % 4 == 2, F.concat(own, F.lit("\n"), F.left(rec, F.lit(40)), F.lit(" "), more))
+             .when(F.col("number") % 4 == 3, F.concat(own, F.lit("\n"), F.left(rec, F.lit(70)), F.lit("![](a.png)"), F.substr(rec, F.lit(71)))).otherwise(F.concat(rec, F.lit("\n"), own)))
+    found = d.select("doc", after.alias("number"), F.concat(after.cast("string"), F.lit(". "), F.upper(rec)).alias("text"))
+    return IM.trim_swallowed_tail(d.withColumn("text", cases), found)
+
+
+@query("next_unit_titles", "P14", TAILS + """ SELECT doc, number, number % 3 = 0 AS untitled, own || CASE number % 3 WHEN 0 THEN '' WHEN 1 THEN chr(10) || '## Unit ' || doc || chr(10) || more ELSE chr(10) || 'Unit ' || doc END AS text FROM t""")
 def _(t):
+    """A heading that is the next unit's title goes from the end; before more text, or as plain text, it stays."""
     d = t.lineitem.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("number")).distinct()
-    rec = d.select("doc", F.explode(F.sequence(F.lit(2), F.lit(7))).alias("number")).distinct().withColumn("text", F.concat(F.lit("recovered body "), F.col("number").cast("string")))
-    tail = F.when(F.col("number") < 7, F.concat(F.lit("\nrecovered body "), (F.col("number") + 1).cast("string"), F.lit(" more"))).otherwise("\nx")
-    return IM.trim_swallowed_tail(d.withColumn("text", F.concat(F.lit("solution "), F.col("number").cast("string"), tail)), rec)
+    title = F.concat(F.lit("Unit "), F.col("doc").cast("string"))
+    end = (F.when(F.col("number") % 3 == 0, F.concat(F.lit("\n## "), title, F.lit("\n \n"))).when(F.col("number") % 3 == 1, F.concat(F.lit("\n## "), title, F.lit("\n"), MD["more"]("doc", "number")))
+           .otherwise(F.concat(F.lit("\n"), title)))
+    return IM.trim_next_title(d.withColumn("text", F.concat(MD["own"]("doc", "number"), end)), d.withColumn("title", F.concat(F.lit("unit  "), F.col("doc").cast("string"))))
 
 
 @query("titled_units", "W12", """WITH n AS (SELECT DISTINCT l_orderkey AS doc, l_returnflag AS f, l_linenumber AS num FROM lineitem), g AS (SELECT doc, f, count(*) AS k, min(num) AS lo, max(num) AS hi FROM n GROUP BY 1, 2),

@@ -83,6 +83,19 @@ def _(t):
     return LA.locate_on_pages(t.benchmark.select(F.col("item_id").alias("item"), "text"), t.documents.select(F.col("doc_id").alias("page"), "text"))
 
 
+@query("window_pages", "J19", """WITH p AS (SELECT doc_id AS page, lower(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) AS body FROM documents),
+ i AS (SELECT item_id * 3 + k AS item, lower(regexp_replace(CASE k WHEN 0 THEN text WHEN 1 THEN text[:9] || '#?' || text[11:] ELSE text[:24] END, '[^\\p{L}\\p{N}]', '', 'g'))[:192] AS key FROM benchmark, range(3) r(k)),
+ w AS (SELECT DISTINCT item, key[s + 1:s + n] AS w FROM i, (SELECT unnest([64, 48, 40, 32]) AS n), (SELECT unnest(range(0, 97, 16)) AS s) WHERE length(key) >= 32 AND s + n <= length(key) UNION SELECT item, key FROM i WHERE length(key) BETWEEN 1 AND 31),
+ h AS (SELECT w, min(page) AS page FROM (SELECT DISTINCT w FROM w) JOIN p ON contains(body, w) GROUP BY w HAVING count(*) = 1)
+ SELECT item, min(page) AS page, count(*) AS votes FROM w JOIN h USING (w) GROUP BY item HAVING min(page) = max(page)""")
+def _(t):
+    """Each passage whole, with one misread character, and as a short head."""
+    text = F.col("text")
+    items = t.benchmark.select(F.explode(F.array(*[F.struct((F.col("item_id") * 3 + k).alias("item"), c.alias("text")) for k, c in enumerate(
+        (text, F.concat(F.left(text, F.lit(9)), F.lit("#?"), F.substr(text, F.lit(11))), F.left(text, F.lit(24))))])).alias("i")).select("i.*")
+    return LA.locate_by_windows(items, t.documents.select(F.col("doc_id").alias("page"), "text"))
+
+
 @query("page_alignment", "J20", """WITH pg AS (SELECT doc_id, i AS page, string_split(text, chr(10))[i + 1] AS fb, text FROM documents, (SELECT unnest([0, 1, 2]) AS i) WHERE len(string_split(text, chr(10))) > i),
  s AS (SELECT doc_id, page, CASE WHEN fb <> '' AND length(text) - length(replace(text, fb, '')) = length(fb) THEN instr(text, fb) END AS pos FROM pg),
  l AS (SELECT *, lag(coalesce(pos, -1)) OVER (PARTITION BY doc_id ORDER BY page) AS p FROM s) SELECT doc_id AS doc, bool_and(pos IS NOT NULL AND (p IS NULL OR p < pos)) AS aligned FROM l GROUP BY 1""")
