@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import fusion as FU, layout as LA
+from ..operators import fusion as FU, layout as LA, relocate as RL
 from ..registry import query
 from ._papers import PAPER, paper_blocks
 
@@ -248,3 +248,22 @@ def _(t):
     marks = option_boxes(t).select("doc", "item", F.char(n + 64).alias("label"), F.lit(0).alias("page"),
         (((n - 1) % 2) * 300.0 + 100).alias("x"), (F.floor((n - 1) / 2) * 250.0 + 160).alias("y")).distinct()
     return LA.assign_options(option_boxes(t), marks, "cost")
+
+
+RELOCATED = f"""WITH {BOXES}, g AS (SELECT doc, item, count(*) AS n, list('![](images/' || figure || ')' ORDER BY n DESC) AS refs, list(figure ORDER BY n) AS f FROM b GROUP BY doc, item),
+ t AS (SELECT *, CASE doc % 4 WHEN 0 THEN '题 ( )' WHEN 1 THEN '题 ( )' WHEN 2 THEN '题' ELSE '题 （ ）' END || chr(10) || array_to_string(refs, ' ') || CASE doc % 4 WHEN 0 THEN chr(10) || 'A. 甲 B. 乙 C. 丙 D. 丁' || chr(10) || '【解析】 x' WHEN 3 THEN chr(10) || '($A$) ($B$) ($C$) ($D$)' ELSE '' END AS text FROM g),
+ r AS (SELECT *, list_transform(range(1, 5), lambda i: '![选项' || chr(CAST(64 + i AS INTEGER)) || '](images/' || f[i] || ')') AS o FROM t)
+ SELECT doc, item, n = 4 AND doc % 4 <> 2 AS moved, CASE WHEN n <> 4 OR doc % 4 = 2 THEN text
+ WHEN doc % 4 = 0 THEN '题 ( )' || chr(10) || '   ' || chr(10) || 'A.' || chr(10) || chr(10) || o[1] || ' 甲 B.' || chr(10) || chr(10) || o[2] || ' 乙 C.' || chr(10) || chr(10) || o[3] || ' 丙 D.' || chr(10) || chr(10) || o[4] || ' 丁' || chr(10) || chr(10) || '【解析】 x'
+ ELSE CASE doc % 4 WHEN 1 THEN '题 ( )' ELSE '题 （ ）' END || array_to_string(list_transform(range(1, 5), lambda i: chr(10) || chr(10) || '(' || chr(CAST(64 + i AS INTEGER)) || ')' || chr(10) || chr(10) || o[i]), '') END AS text FROM r"""
+
+
+@query("relocated_figures", "P15 W26", RELOCATED)
+def _(t):
+    """Bodies whose figures stand in reverse before labels, weak labels, none, or without an answer bracket."""
+    boxes, case = option_boxes(t), F.col("doc") % 4
+    refs = F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("n", "figure")))), lambda x: F.concat(F.lit("![](images/"), x["figure"], F.lit(")")))
+    bodies = boxes.groupBy("doc", "item").agg(F.array_join(refs, " ").alias("_r")).select("doc", "item", F.concat(
+        F.when(case == 2, "题").when(case == 3, "题 （ ）").otherwise("题 ( )"), F.lit("\n"), F.col("_r"),
+        F.when(case == 0, "\nA. 甲 B. 乙 C. 丙 D. 丁\n【解析】 x").when(case == 3, "\n($A$) ($B$) ($C$) ($D$)").otherwise("")).alias("text"))
+    return RL.relocate_figures(bodies, LA.assign_options(boxes, None, "reading"))
