@@ -129,41 +129,34 @@ def restart_groups(numbers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(groups, rejected documents) by complete restarts of the numbering.
 
     ``numbers(doc, line_no, number, titled)``; ``titled`` says an ordinary paper title stands
-    right before the line. A new group opens at 1 once five numbers were seen. The fold
-    keeps the numbers of the open group only, at most 300 by their range.
+    right before the line, an optional ``section`` that only a section heading does. Every 1
+    that does not follow a 1 opens a group. A document is rejected as a whole when a group has
+    under five numbers or covers under 85 % of its range, when neighbours without a title
+    between them overlap below 80 %, or when a group opens at a section heading. A group
+    keeps its distinct numbers only, at most 300 by their range.
     """
-    hits = numbers.filter(F.col("number").between(1, 300))
-
-    def step(state, part):
-        for line, n, titled in zip(part["line_no"], part["number"], part["titled"]):
-            n = int(n)
-            if n == 1 and state["set"] and state["last"] != 1:
-                if len(state["set"]) >= MIN_NUMBERS:
-                    state["groups"].append((state["start"], bool(state["titled"]), sorted(state["set"]), state["first"], state["unsure"]))
-                    state.update(set=set(), start=None)
-                else:
-                    state["unsure"] = True
-            if not state["set"]:
-                state.update(start=int(line), titled=titled, first=n)
-            state["set"].add(n)
-            state["last"] = n
-
-    def finish(state):
-        rows = state["groups"] + ([(state["start"], bool(state["titled"]), sorted(state["set"]), state["first"], state["unsure"])] if state["set"] else [])
-        return [(i + 1, *r) for i, r in enumerate(rows)]
-
-    begin = lambda: {"groups": [], "set": set(), "start": None, "titled": False, "first": None, "last": None, "unsure": False}
-    groups = materialise(fold(hits, ["doc"], ["line_no"], begin, step, finish,
-                              f"doc {dict(hits.dtypes)['doc']}, grp int, start_line long, titled boolean, question_numbers array<int>, first int, unsure boolean"))
+    hits = numbers.filter(F.col("number").between(1, 300)).withColumn("_c", dense_chunk("line_no"))
+    if "section" not in hits.columns:
+        hits = hits.withColumn("section", F.lit(False))
+    marked = scan(hits, ["doc"], ["line_no"], "_c", {"_before": lag(F.col("number"))})
+    opens = (F.col("number") == 1) & (F.col("_before") != 1)
+    runs = scan(marked.withColumn("_opens", F.coalesce(opens, F.lit(False))), ["doc"], ["line_no"], "_c", {"_run": running_count(F.col("_opens"))})
+    at = F.min_by(F.struct("line_no", "number", "titled", "section"), "line_no")
+    groups = materialise(runs.groupBy("doc", (F.col("_run") + 1).cast("int").alias("grp")).agg(
+        at.alias("_at"), F.sort_array(F.collect_set("number")).alias("question_numbers"))
+        .select("doc", "grp", F.col("_at.line_no").alias("start_line"), F.col("_at.titled").alias("titled"), "question_numbers",
+                F.col("_at.number").alias("first"), F.col("_at.section").alias("section")))
     nx = scan(groups, ["doc"], ["grp"], dense_chunk("grp"), {"nx": lead(F.struct("question_numbers", "titled"))})
-    q = F.col("question_numbers")
+    q, last = F.col("question_numbers"), F.col("nx").isNull()
     thin = (F.col("first") != 1) | (F.size(q) < MIN_NUMBERS) | (F.size(q) / F.array_max(q) < MIN_COVERAGE)
-    apart = F.col("nx").isNotNull() & ~F.col("nx.titled") & (
+    apart = ~last & ~F.col("nx.titled") & (
         F.size(F.array_intersect(q, F.col("nx.question_numbers"))) / F.greatest(F.size(q), F.size("nx.question_numbers")) < MIN_OVERLAP)
-    per = nx.groupBy("doc").agg(F.count("*").alias("n"), F.max("unsure").alias("unsure"), F.max(thin).alias("thin"), F.max(apart).alias("apart"))
-    reason = F.when(F.col("unsure") | (F.col("n") < 2), "no_clear_restart").when(F.col("thin"), "coverage").when(F.col("apart"), "overlap")
+    per = nx.groupBy("doc").agg(F.count("*").alias("n"), F.max(~last & (F.size(q) < MIN_NUMBERS)).alias("unsure"), F.max(thin).alias("thin"),
+                                F.max(apart).alias("apart"), F.max((F.col("grp") > 1) & F.col("section")).alias("section"))
+    reason = (F.when(F.col("section"), "section").when(F.col("unsure") | (F.col("n") < 2), "no_clear_restart")
+              .when(F.col("thin"), "coverage").when(F.col("apart"), "overlap"))
     rejected = per.withColumn("reason", reason).filter("reason IS NOT NULL").select("doc", "reason")
-    return groups.join(rejected, "doc", "left_anti").drop("first", "unsure"), rejected
+    return groups.join(rejected, "doc", "left_anti").drop("first", "section"), rejected
 
 
 def titles_before(lines: DataFrame, is_heading: Column, is_reset: Column) -> DataFrame:

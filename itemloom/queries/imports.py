@@ -52,12 +52,6 @@ def _(t):
     return C.pair_units(units(t, "e"), units(t, "s"))[0].select("collection", "pos")
 
 
-@query("restart_groups", "W11")
-def _(t):
-    b = paper_blocks(t).select("doc", F.col("idx").alias("line_no"), F.col("number"), F.lit(False).alias("titled"))
-    return C.restart_groups(b)[0].select("doc", "grp", "start_line")
-
-
 @query("title_lookback", "W31", W + """SELECT doc, '# 试卷' AS title FROM paper WHERE idx = 0 AND number = 1""")
 def _(t):
     lines = paper_lines(t).filter("text NOT LIKE '一、%'")

@@ -172,7 +172,8 @@ def fold(df: DataFrame, keys: list[str], order: list[str], start, step, finish,
     Rows stream through a task in sorted Arrow batches and only ``start()``'s state is
     kept, so a key never has to fit in memory; the caller keeps that state bounded.
     ``step(state, frame)`` takes consecutive rows of one key, ``finish(state)`` gives the
-    result tuples, which follow the key columns in ``schema``.
+    result tuples, which follow the key columns in ``schema``. A step may return such tuples
+    too: they leave at once, so the state need not keep what is settled.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ready = df.repartition(n, *keys).sortWithinPartitions(*keys, *order)
@@ -191,7 +192,7 @@ def fold(df: DataFrame, keys: list[str], order: list[str], start, step, finish,
                     state = None
                 if state is None:
                     key, state = k, start()
-                step(state, part)
+                rows += [(*key, *r) for r in step(state, part) or ()]
             if rows:
                 yield pd.DataFrame(rows, columns=fields)
         if key is not None:
