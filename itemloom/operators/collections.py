@@ -18,6 +18,7 @@ SOLUTION_SUFFIX = r"(?U)(?:参考答案|答案解析|详细解析|解析|答案|
 SUBJECT_SUFFIX = r"(?U)(?:物理|数学|化学|生物|语文|英语)(?:试题|试卷)?\s*$"
 FILE_SUFFIX = r"(参考答案|答案解析|详细解析|解析|答案|详解|解答)[\s\-_()（）\d]*$"
 MIN_NUMBERS, MIN_COVERAGE, MIN_OVERLAP = 5, 0.85, 0.80
+RECOVERY_COVERAGE = 0.60
 
 
 def is_paper_title(title: Column) -> Column:
@@ -191,13 +192,13 @@ def rising_starts(numbers: DataFrame) -> DataFrame:
     return fold(numbers, ["doc"], ["line_no"], list, step, finish, f"doc {dict(numbers.dtypes)['doc']}, line_no long")
 
 
-def titled_units(lines: DataFrame, min_coverage: float = 0.80) -> tuple[DataFrame, DataFrame]:
+def titled_units(lines: DataFrame, min_coverage: float = 0.80, recovery: bool = False) -> tuple[DataFrame, DataFrame]:
     """(units, rejected documents) of a collection cut at confirmed titles.
 
     ``lines(doc, line_no, is_title, key, number)``. Neighbouring titles with one key are one
     run, of which the last title counts that is followed by numbers from 1 covering at least
     80 % of their range. A document needs two confirmed runs, and no unconfirmed run after
-    the first confirmed one.
+    the first confirmed one. With ``recovery`` five numbers from 1 covering 60 % confirm too.
     """
     titles = lines.filter("is_title").select("doc", "line_no", "key")
     marked = materialise(scan(titles, ["doc"], ["line_no"], dense_chunk("line_no"), {"_k": lag(F.col("key"))}))
@@ -212,6 +213,8 @@ def titled_units(lines: DataFrame, min_coverage: float = 0.80) -> tuple[DataFram
              .agg(F.min(F.when(F.col("seen_in") >= F.col("cand"), F.col("number"))).alias("low"), F.max(F.when(F.col("seen_in") >= F.col("cand"), F.col("number"))).alias("high"),
                   F.count_if(F.col("seen_in") >= F.col("cand")).alias("k")))
     valid = (F.col("k") >= 2) & (F.col("low") == 1) & (F.col("k") >= F.col("high") * min_coverage)
+    if recovery:
+        valid = valid | ((F.col("k") >= MIN_NUMBERS) & (F.col("low") == 1) & (F.col("k") >= F.col("high") * RECOVERY_COVERAGE))
     runs_ = materialise(proof.groupBy("doc", "run").agg(F.max(F.when(valid, F.struct("cand", "line_no", "title_key", "k"))).alias("best")))
     per = runs_.groupBy("doc").agg(F.count("best").alias("confirmed"), F.min(F.when(F.col("best").isNotNull(), F.col("run"))).alias("first"),
                                    F.max(F.when(F.col("best").isNull(), F.col("run"))).alias("open_run"))
@@ -220,3 +223,26 @@ def titled_units(lines: DataFrame, min_coverage: float = 0.80) -> tuple[DataFram
     units = runs_.filter("best IS NOT NULL").join(rejected, "doc", "left_anti").select(
         "doc", "run", F.col("best.line_no").alias("start_line"), F.col("best.title_key").alias("title_key"), F.col("best.k").alias("numbers"))
     return units, rejected
+
+
+def provisional_units(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(units, rejected documents) with a second try at 60 % for documents that ``titled_units`` rejects.
+
+    ``lines`` also has ``strong`` and ``ordinal`` on its titles. The second try needs strong
+    titles throughout, ordinals that rise by one from unit to unit, and five numbers in each.
+    Its units are ``provisional``: they tell where to look for lost numbers and must pass
+    ``titled_units`` afterwards, so they are not for pairing or loading.
+    """
+    strict, failed = titled_units(lines)
+    failed = materialise(failed)
+    weak = lines.filter("is_title AND NOT coalesce(strong, false)").select("doc").distinct()
+    again = lines.join(failed.select("doc"), "doc", "left_semi").join(weak, "doc", "left_anti")
+    loose = titled_units(again, recovery=True)[0]
+    titles = again.filter("is_title").select("doc", F.col("line_no").alias("start_line"), "ordinal")
+    placed = materialise(loose.join(titles, ["doc", "start_line"]))
+    steps = scan(placed, ["doc"], ["run"], dense_chunk("run"), {"_before": lag(F.struct("ordinal"))})
+    jump = F.col("_before").isNotNull() & ~F.coalesce(F.col("ordinal") == F.col("_before.ordinal") + 1, F.lit(False))
+    bad = steps.filter(jump | F.col("ordinal").isNull() | (F.col("numbers") < MIN_NUMBERS)).select("doc").distinct()
+    found = placed.drop("ordinal").join(bad, "doc", "left_anti").withColumn("provisional", F.lit(True))
+    units = strict.withColumn("provisional", F.lit(False)).unionByName(found)
+    return units, failed.join(found.select("doc").distinct(), "doc", "left_anti")

@@ -22,7 +22,7 @@ def papers(t):
     k = t.lineitem.groupBy("l_orderkey").agg(F.count("*").cast("int").alias("k"))
     seq = "sequence(1, 8 + k div 4)"
     rows = t.orders.join(k, F.col("o_orderkey") == F.col("l_orderkey")).select(
-        F.col("o_custkey").alias("doc"), "o_orderkey", F.col("o_orderpriority").alias("priority"), "k",
+        F.col("o_custkey").alias("doc"), "o_orderkey", F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"), "k",
         F.expr(NUMBERS.format(three="array(1, 2, 3)", f="filter", n="n ->", seq=seq)).alias("numbers"),
         F.expr(HEADS.format(l="array(", r=")", none="cast(array() AS array<string>)")).alias("heads"))
     ranked = rank_in_key(rows, ["doc"], [F.col("o_orderkey").asc()], "pos").withColumn("pos", F.col("pos").cast("int"))
@@ -122,3 +122,24 @@ def _(t):
 @query("solution_rejections", "W11", SOLVED + " SELECT doc AS collection, reason FROM verdict WHERE reason IS NOT NULL")
 def _(t):
     return solved(t)[1]
+
+
+# Papers of ten lines keep seven of ten items, of thirteen five of eleven.
+LOSSY = "CASE WHEN k = 10 THEN {f}(numbers, {n} n <> 3 AND n <> 4 AND n <> 5) WHEN k = 13 THEN {f}(numbers, {n} n < 4 OR n > 9) ELSE numbers END"
+STRONG, ORDINAL = "status <> 'P' OR k <> 8", "pos + CASE WHEN k = 12 THEN 1 ELSE 0 END"
+
+
+@query("provisional_units", "W12", PAPERS + f""", v AS (SELECT doc, pos, o_orderkey, {STRONG} AS strong, {ORDINAL} AS ordinal, len(s) AS n, len(s) >= 2 AND len(s) / list_max(s) >= 0.8 AS ok, len(s) >= 5 AND len(s) / list_max(s) >= 0.6 AS loose
+ FROM (SELECT *, {LOSSY.format(f='list_filter', n='lambda n:')} AS s FROM placed)),
+ w AS (SELECT *, ok OR loose AS fits, coalesce(ordinal <> lag(CASE WHEN ok OR loose THEN ordinal END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY pos) + 1, false) AS jump FROM v),
+ d AS (SELECT doc, count_if(ok) >= 2 AND coalesce(max(CASE WHEN NOT ok THEN pos END) < min(CASE WHEN ok THEN pos END), true) AS strict,
+ bool_and(strong) AND count_if(fits) >= 2 AND coalesce(max(CASE WHEN NOT fits THEN pos END) < min(CASE WHEN fits THEN pos END), true) AND NOT bool_or(fits AND (jump OR n < 5)) AS again FROM w GROUP BY doc)
+ SELECT doc, CAST(o_orderkey AS VARCHAR) AS title_key, CAST(n AS BIGINT) AS numbers, NOT strict AS provisional FROM w JOIN d USING (doc) WHERE (strict AND ok) OR (NOT strict AND again AND fits)""")
+def _(t):
+    p = papers(t).withColumn("s", F.expr(LOSSY.format(f="filter", n="n ->"))).withColumn("base", F.col("base") + F.col("pos"))
+    titles = p.select("doc", F.col("base").alias("line_no"), F.lit(True).alias("is_title"), F.col("o_orderkey").cast("string").alias("key"), F.lit(None).cast("int").alias("number"),
+                      F.expr(STRONG).alias("strong"), F.expr(ORDINAL).alias("ordinal"))
+    items = p.select("doc", "base", F.posexplode("s").alias("j", "number")).select(
+        "doc", (F.col("base") + 1 + F.col("j")).alias("line_no"), F.lit(False).alias("is_title"), F.lit(None).cast("string").alias("key"), "number",
+        F.lit(None).cast("boolean").alias("strong"), F.lit(None).cast("int").alias("ordinal"))
+    return C.provisional_units(materialise(titles.unionByName(items)))[0].select("doc", "title_key", F.col("numbers").cast("long").alias("numbers"), "provisional")

@@ -1,6 +1,6 @@
 import random
 
-from itemloom.operators import resets as RS
+from itemloom.operators import collections as CO, resets as RS
 
 
 def as_dict(df):
@@ -168,3 +168,18 @@ def test_solution_titles_and_the_sparse_tier(spark):
     second = {r.collection: (r.title, r.start_line, r.generated_title) for r in units.filter("pos = 2").collect()}
     assert second["sparse"] == ("精练二：动能定理", 19, False) and second["untitled"] == ("精练二：动能定理", 20, True)
     assert second["generic"] == ("提升精练二参考答案", 19, False)
+
+
+def test_provisional_units(spark):
+    whole, loose, short, few = range(1, 9), [1, 2, 5, 6, 8], [1, 2, 8], [1, 2, 3]
+    cases = {"strict": [(1, True, whole), (2, False, whole)], "loose": [(1, True, whole), (2, True, loose)], "weak": [(1, False, whole), (2, True, loose)],
+             "jump": [(1, True, whole), (3, True, loose)], "short": [(1, True, whole), (2, True, short)], "few": [(1, True, few), (2, True, loose)]}
+    rows = []
+    for doc, units in cases.items():
+        for u, (ordinal, strong, numbers) in enumerate(units):
+            rows.append((doc, u * 100, True, f"k{u}", None, strong, ordinal))
+            rows += [(doc, u * 100 + i + 1, False, None, n, None, None) for i, n in enumerate(numbers)]
+    lines = spark.createDataFrame(rows, "doc string, line_no long, is_title boolean, key string, number int, strong boolean, ordinal int")
+    units, rejected = CO.provisional_units(lines)
+    assert {(r.doc, r.start_line, r.provisional) for r in units.collect()} == {("strict", 0, False), ("strict", 100, False), ("loose", 0, True), ("loose", 100, True)}
+    assert {r.doc for r in rejected.collect()} == {"weak", "jump", "short", "few"}
