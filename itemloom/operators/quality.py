@@ -18,9 +18,17 @@ LONG_RATIO, LONG_MIN_BLOCKS = 4.0, 6
 LOST_MIN, LOST_RATIO, LOST_LARGE, LOST_LARGE_RATIO = 80, 0.20, 300, 0.10
 COVER_SLACK = 0.001
 
+IMAGE = r"!\[[^\]]*\]\([^)]*\)"
+ALNUM = r"[\p{L}\p{N}]"
+
 stems_of = lambda blocks: blocks.filter("zone = 'stem'")
 
 
+def empty_recognition(text: Column, signs: str = ALNUM) -> Column:
+    """No letter or digit outside image references; ``signs`` names what counts as one."""
+    return ~F.regexp_replace(text, IMAGE, "").rlike(signs)
+
+
 def declared_mismatch(blocks: DataFrame) -> DataFrame:
     """Sections whose heading declares another item count than the section has."""
     per = stems_of(blocks).groupBy("doc", F.coalesce("section", F.lit("")).alias("section")).agg(F.count("*").alias("found"))

@@ -29,3 +29,9 @@ DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 def test_reorder_next_to_takes_the_middle_where_orders_tie(spark, tmp_path):
     rows = [(k, "x", "en", "src1", n) for k, n in [(1, 5), (2, 97 * 3 + 7), (3, 97 * 2 + 7), (4, 97 + 8), (5, 97 + 7)]]
     assert same_as_sql(spark, tmp_path, "reorder_next_to", documents=(rows, DOCUMENTS)) == [(1, 7.0)]
+
+
+def test_empty_recognition_reads_the_signs_its_sql_reads(spark, tmp_path):
+    seconds = ["É.", "...", "ab", "![p](q)", "!![", "", None, "九", "7!"]
+    rows = [(k, None if s is None else f"x\n{s}", "en", "src1", 9) for k, s in enumerate(seconds)]
+    assert sorted(same_as_sql(spark, tmp_path, "empty_recognition", documents=(rows, DOCUMENTS))) == [(0,), (1,), (4,), (5,), (7,)]
