@@ -35,3 +35,18 @@ def test_empty_recognition_reads_the_signs_its_sql_reads(spark, tmp_path):
     seconds = ["É.", "...", "ab", "![p](q)", "!![", "", None, "九", "7!"]
     rows = [(k, None if s is None else f"x\n{s}", "en", "src1", 9) for k, s in enumerate(seconds)]
     assert sorted(same_as_sql(spark, tmp_path, "empty_recognition", documents=(rows, DOCUMENTS))) == [(0,), (1,), (4,), (5,), (7,)]
+
+
+LINEITEM = ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, "
+            "l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz")
+
+
+def order_lines(order, rows):
+    """(number, flag, status) in paper order."""
+    day = datetime.datetime(1995, 1, 1)
+    return [(order, 100 + k, 7, n, 1.0, 10.0, 0.0, 0.0, flag, status, day + datetime.timedelta(days=k)) for k, (n, flag, status) in enumerate(rows)]
+
+
+def test_segmented_papers_keeps_shifted_tails(spark, tmp_path):
+    rows = order_lines(1, [(1, "A", "F"), (2, "N", "F"), (2, "R", "F"), (3, "N", "O"), (1, "A", "O"), (2, "N", "O")])
+    assert same_as_sql(spark, tmp_path, "segmented_papers", lineitem=(rows, LINEITEM)) == [(1, 6, 11)]
