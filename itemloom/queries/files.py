@@ -16,8 +16,7 @@ def _folder(t):
 
 
 def _one_file_per_row(df, path, *by):
-    df.write.partitionBy(*by).option("maxRecordsPerFile", 1).text(path)
-    return path
+    return K.write_texts(df, path, list(by))
 
 
 def _cards(t):

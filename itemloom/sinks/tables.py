@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,3 +70,46 @@ def nested_report(rows: DataFrame, keys: list[str], name: str, fields: list[str]
     """One row per key with its detail rows as an array, as the JSON reports are laid out."""
     detail = F.array_sort(F.collect_list(F.struct(*fields)))
     return rows.groupBy(*keys).agg(detail.alias(name), F.count("*").alias(f"{name}_count"))
+
+
+def _opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The store of a path and the place in it; a bare path and ``file:`` are the local store."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path[len("file:"):].lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def write_texts(df: DataFrame, path: str, by: list[str]) -> str:
+    """One text file for each row of ``df(value, *by)``, under folders named by ``by``.
+
+    A file costs far more than its row, so the rows are dealt to all tasks whatever the table's
+    size in bytes. The tasks write through Arrow: Hadoop's local store starts four processes to set
+    the rights of each file and folder. A file is named by its task's number and its own, so a task that
+    runs twice writes the same files. Stores that Arrow does not open are left to Spark's writer.
+    """
+    dealt = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    try:
+        store, root = _opened(path)
+        store.create_dir(root, recursive=True)  # the readers expect it also where there are no rows
+    except (pa.ArrowException, ValueError, OSError):
+        (dealt.write.partitionBy(*by).option("maxRecordsPerFile", 1)
+         .option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path))
+        return path
+
+    def run(batches):
+        store, root = _opened(path)
+        task, made, k = TaskContext.get().partitionId(), set(), 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                folder = "/".join([root, *[f"{c}={row[c]}" for c in by]])
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with store.open_output_stream(f"{folder}/part-{task:05d}-{k:06d}.txt") as out:
+                    out.write(((row["value"] or "") + "\n").encode())
+                k += 1
+            yield pa.RecordBatch.from_pydict({"files": pa.array([batch.num_rows], pa.int64())})
+
+    dealt.select("value", *[F.coalesce(F.col(c).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")).alias(c) for c in by]).mapInArrow(
+        run, "files long").agg(F.sum("files")).collect()
+    return path

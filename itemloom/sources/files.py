@@ -179,7 +179,8 @@ OVERRIDE = ("gid int, operation string, number int, idx int, after_number int, a
 
 
 def read_overrides(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(OVERRIDE).option("multiLine", True).json(path)
+    """Overrides of all files below ``path``; folder names are not read as columns."""
+    return spark.read.schema(OVERRIDE).option("multiLine", True).option("recursiveFileLookup", True).json(path)
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:

@@ -112,3 +112,20 @@ def test_publish_swaps_whole_tables(spark, tmp_path):
     K.append_run(spark.range(1), str(tmp_path / "runs"), "r1")
     with pytest.raises(Exception):
         K.append_run(spark.range(1), str(tmp_path / "runs"), "r1")
+
+
+def test_texts_are_written_by_many_tasks_and_read_back(spark, tmp_path):
+    from itemloom.sinks.tables import write_texts
+    from itemloom.sources.files import read_overrides, read_texts
+    rows = [(f"t{k}\nx", f"g{k % 3}", str(k)) for k in range(40)] + [("t0\nx", "g0", "0"), (None, "g0", "0"), ("z", None, "9")]
+    df = spark.createDataFrame(rows, "value string, a string, b string").coalesce(1)
+    root = write_texts(df, f"{tmp_path}/texts", ["a", "b"])
+    files = list((tmp_path / "texts").rglob("*.txt"))
+    assert len(files) == 43 and len({f.name.split("-")[1] for f in files}) > 1  # one task wrote them all before
+    back = sorted((r.path.rsplit("/", 1)[0], r.text) for r in read_texts(spark, root, "*.txt").collect())
+    assert back == sorted((f"a={a or '__HIVE_DEFAULT_PARTITION__'}/b={b}", (v or "") + "\n") for v, a, b in rows)
+    none = write_texts(df.filter("1 = 0"), f"file:{tmp_path}/none", ["a", "b"])
+    assert read_texts(spark, none, "*.txt").count() == 0
+    notes = spark.createDataFrame([(f'[{{"gid":{k},\n"operation":"drop"}}]', str(k)) for k in range(5)], "value string, run string")
+    got = read_overrides(spark, write_texts(notes, f"{tmp_path}/notes", ["run"]))
+    assert "run" not in got.columns and sorted(r.gid for r in got.collect()) == [0, 1, 2, 3, 4]
