@@ -182,6 +182,11 @@ SOLUTION_LINE = (r"(?U)^[\s>]*(?:#{1,6}\s*)?(?:\*\*|__|\*)?\s*(?:\d{1,3}\s*[.．
 SOLUTION_INLINE = r"(?U)(?:【\s*(?:参考)?(?:答案|解析)\s*】|(?:参考)?答案\s*[:：]|解析\s*[:：])"
 
 
+def _once(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` uses it."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def split_solution(block: Column, scan_marks: bool = True) -> Column:
     """(stem, solution): cut at the first solution mark, solution null without one.
 
@@ -198,21 +203,25 @@ def split_solution(block: Column, scan_marks: bool = True) -> Column:
             F.struct(strip(block).alias("stem"), F.lit(None).cast("string").alias("solution")))
 
     def place(x):
-        inline = F.regexp_instr(x, F.lit(SOLUTION_INLINE))
-        before = F.substr(x, F.lit(1), inline - 1)
-        mark = F.regexp_substr(x, F.lit(SOLUTION_INLINE))
-        word = mark.rlike(r"(?U)^(?:参考)?答案\s*[:：]$") & F.regexp_replace(before, r"(?U)\s+$", "").endswith("的")
-        return (F.when(x.rlike(SOLUTION_LINE), 1)
-                .when((inline > 0) & (strip(before) != "") & ~word, inline).otherwise(0))
-
-    hits = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), place(x).alias("at"))), lambda s: s["at"] > 0)
-    hit = F.get(hits, 0)
-    line = F.get(lines, hit["i"])
-    stem = F.array_join(F.concat(F.slice(lines, 1, hit["i"]), F.array(F.substr(line, F.lit(1), hit["at"] - 1))), "\n")
-    tail = F.array_join(F.concat(F.array(F.substr(line, hit["at"])), F.slice(lines, hit["i"] + 2, F.size(lines))), "\n")
-    cut = F.struct(strip(stem).alias("stem"), F.nullif(strip(tail), F.lit("")).alias("solution"))
-    return F.when(F.size(hits) > 0, cut).otherwise(
-        F.struct(strip(block).alias("stem"), F.lit(None).cast("string").alias("solution")))
+        def inside(inline):
+            before = F.substr(x, F.lit(1), inline - 1)
+            mark = F.regexp_substr(x, F.lit(SOLUTION_INLINE))
+            word = mark.rlike(r"(?U)^(?:参考)?答案\s*[:：]$") & F.regexp_replace(before, r"(?U)\s+$", "").endswith("的")
+            return F.when((inline > 0) & (strip(before) != "") & ~word, inline).otherwise(0)
+        return F.when(x.rlike(SOLUTION_LINE), 1).otherwise(_once(F.regexp_instr(x, F.lit(SOLUTION_INLINE)), inside))
+
+    def parted(ls, hit):
+        line = F.get(ls, hit["i"])
+        stem = F.array_join(F.concat(F.slice(ls, 1, hit["i"]), F.array(F.substr(line, F.lit(1), hit["at"] - 1))), "\n")
+        tail = F.array_join(F.concat(F.array(F.substr(line, hit["at"])), F.slice(ls, hit["i"] + 2, F.size(ls))), "\n")
+        cut = F.struct(strip(stem).alias("stem"), F.nullif(strip(tail), F.lit("")).alias("solution"))
+        return F.when(hit.isNotNull(), cut).otherwise(
+            F.struct(strip(block).alias("stem"), F.lit(None).cast("string").alias("solution")))
+
+    def first(ls):
+        return F.get(F.filter(F.transform(ls, lambda x, i: F.struct(i.alias("i"), place(x).alias("at"))), lambda s: s["at"] > 0), 0)
+
+    return _once(lines, lambda ls: _once(first(ls), lambda hit: parted(ls, hit)))
 
 
 def strip_repeated_stem(stem: Column, solution: Column) -> Column:

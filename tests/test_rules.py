@@ -214,3 +214,14 @@ def test_option_inspection_keeps_its_plan_small(spark):
     both = out.filter("c.complete and c.blank").select("text", "c.options", "c.stem")
     assert len(both._jdf.queryExecution().optimizedPlan().toString()) < 20_000
     assert [(r.options, r.stem) for r in both.collect()] == [(["x", "y", "z", "w"], "1. 题 ( )")]
+
+
+def uses(df, word):
+    return df._jdf.queryExecution().optimizedPlan().toString().count(word)
+
+
+def test_solution_marks_are_looked_up_once_for_a_line(spark):
+    df = spark.createDataFrame([("1. x\n【答案】 y",), ("题 答案：3",), ("求x的答案：",), (None,), ("",)], "t string")
+    out = df.select(M.split_solution(F.col("t")).alias("s"))
+    assert uses(out, "regexp_instr(") == 1
+    assert [tuple(r.s) if r.s else None for r in out.collect()] == [("1. x", "【答案】 y"), ("题", "答案：3"), ("求x的答案：", None), (None, None), ("", None)]
