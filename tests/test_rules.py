@@ -225,3 +225,10 @@ def test_solution_marks_are_looked_up_once_for_a_line(spark):
     out = df.select(M.split_solution(F.col("t")).alias("s"))
     assert uses(out, "regexp_instr(") == 1
     assert [tuple(r.s) if r.s else None for r in out.collect()] == [("1. x", "【答案】 y"), ("题", "答案：3"), ("求x的答案：", None), (None, None), ("", None)]
+
+
+def test_empty_option_lines_are_cut_once(spark):
+    df = spark.createDataFrame([(1, "3. A. B. x C. D. y"), (2, "A. 1 B. 2 C. 3 D. 4"), (3, "B. A. C. D."), (4, "A. B."), (5, None)], "k int, text string")
+    out = C.empty_options(df)
+    assert uses(out, "split(text") + uses(out, "split(concat(") == 1
+    assert [tuple(r) for r in out.select("k", "empty", "total", "item_number").collect()] == [(1, "AC", 4, 3)]
