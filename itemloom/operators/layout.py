@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.choices import bound
 from ..scale import last_seen, lag, lead, scan
 from ..session import materialise
 
@@ -375,15 +376,20 @@ def _grids(figures: DataFrame) -> DataFrame:
             rows = rows.filter(alike(F.col(f"b{j}"), F.col(f"b{k}")))
     rows = rows.select(*ITEM, F.array("b0", "b1", "b2", "b3").alias("boxes"))
     third = lambda name: F.array_sort(F.transform("boxes", lambda b: b[name]))[2]
-    rows = rows.withColumn("mw", third("w")).withColumn("mh", third("h")).withColumn("high", F.greatest(F.lit(20.0), 0.35 * F.col("mh"))).withColumn("wide", F.greatest(F.lit(25.0), 0.45 * F.col("mw")))
-    rows = rows.withColumn("r", _lined(F.col("boxes"), F.col("high")))
-    lines = F.array_join(F.transform("r", lambda x: x["line"].cast("string")), "")
     spread = lambda name: F.array_max(F.transform("boxes", lambda b: b[name])) - F.array_min(F.transform("boxes", lambda b: b[name]))
-    x = lambda i: F.col("r")[i]["cx"]
-    fine = (F.when(lines == "0000", spread("cy") <= F.col("high"))
-            .when(lines == "0011", (F.abs(x(0) - x(2)) <= F.col("wide")) & (F.abs(x(1) - x(3)) <= F.col("wide")))
-            .when(lines == "0123", spread("cx") <= F.col("wide")).otherwise(False))
-    return rows.filter(fine).select(*ITEM, F.transform("r", lambda v: v["figure"]).alias("four"))
+    slack = F.struct(F.greatest(F.lit(20.0), 0.35 * third("h")).alias("high"), F.greatest(F.lit(25.0), 0.45 * third("w")).alias("wide"))
+
+    def regular(r, s):
+        x = lambda i: r[i]["cx"]
+        fine = bound(F.array_join(F.transform(r, lambda v: v["line"].cast("string")), ""), lambda lines: (
+            F.when(lines == "0000", spread("cy") <= s["high"])
+            .when(lines == "0011", (F.abs(x(0) - x(2)) <= s["wide"]) & (F.abs(x(1) - x(3)) <= s["wide"]))
+            .when(lines == "0123", spread("cx") <= s["wide"]).otherwise(False)))
+        return F.when(fine, F.transform(r, lambda v: v["figure"]))
+
+    four = bound(slack, lambda s: bound(_lined(F.col("boxes"), s["high"]), lambda r: regular(r, s)))
+    # no Filter, which the engine would move below the columns and so compute them again for it
+    return rows.select(*ITEM, F.explode(F.filter(F.array(four), lambda f: f.isNotNull())).alias("four"))
 
 
 def _unique_grid(figures: DataFrame) -> DataFrame:

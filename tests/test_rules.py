@@ -232,3 +232,12 @@ def test_empty_option_lines_are_cut_once(spark):
     out = C.empty_options(df)
     assert uses(out, "split(text") + uses(out, "split(concat(") == 1
     assert [tuple(r) for r in out.select("k", "empty", "total", "item_number").collect()] == [(1, "AC", 4, 3)]
+
+
+def test_grid_lines_are_made_once(spark):
+    at = {"a": (0, 0), "b": (300, 0), "c": (0, 250), "d": (300, 250), "e": (300, 600)}
+    rows = [(1, "F", k, 0, x + 0.0, y + 0.0, x + 200.0, y + 150.0) for k, (x, y) in at.items() if k != "e"] + [(2, "F", "a", 0, 0.0, 0.0, 200.0, 150.0)]
+    df = spark.createDataFrame(rows, "doc int, item string, figure string, page int, x0 double, y0 double, x1 double, y1 double")
+    out = LA.assign_options(df, None, "grid")
+    assert uses(LA._grids(LA._shaped(df)), "aggregate(") == 1
+    assert sorted(tuple(r) for r in out.select("doc", "label", "figure").collect()) == [(1, "A", "a"), (1, "B", "b"), (1, "C", "c"), (1, "D", "d")]
