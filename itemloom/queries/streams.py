@@ -11,8 +11,9 @@ from ..streaming import jobs as J
 
 
 def _stream(t, name):
+    """A pattern, as a stream takes no single file; it also meets a table that is a folder of files."""
     schema = t.spark.read.parquet(f"{t.folder}/{name}.parquet").schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.folder)
+    return t.spark.readStream.schema(schema).parquet(f"{t.folder}/{name}.parque[t]")
 
 
 def _places(t):

@@ -50,3 +50,8 @@ def order_lines(order, rows):
 def test_segmented_papers_keeps_shifted_tails(spark, tmp_path):
     rows = order_lines(1, [(1, "A", "F"), (2, "N", "F"), (2, "R", "F"), (3, "N", "O"), (1, "A", "O"), (2, "N", "O")])
     assert same_as_sql(spark, tmp_path, "segmented_papers", lineitem=(rows, LINEITEM)) == [(1, 6, 11)]
+
+
+def test_stream_ingest_reads_a_table_of_several_files(spark, tmp_path):
+    rows = [(k, "x", "en", f"src{k % 2}", k % 3) for k in range(9)]
+    assert len(same_as_sql(spark, tmp_path, "stream_ingest", documents=(rows, DOCUMENTS))) == 6
