@@ -102,12 +102,22 @@ TAIL_KEY, TAIL_OVERLAP, TAIL_PLACE, TAIL_RUN, TAIL_SEED, TAIL_SHARE, TAIL_BEFORE
 TAIL_IMAGE = r"!\[[^\]]*\]\([^)]*\)|!\[\[[^\]\n]*\]\]|<img\b[^>]*>"
 TAIL_MASKED = TAIL_IMAGE + r"|</?[A-Za-z][A-Za-z0-9:-]*(?:\s[^>\n]*)?>|\\(?:left|right|displaystyle|textstyle|scriptstyle|scriptscriptstyle)\b"
 
+KEY_BYTES = np.array([chr(c) in "0123456789abcdefghijklmnopqrstuvwxyz" for c in range(128)])
+NOT_KEY = {c: None for c in range(128) if not KEY_BYTES[c]}
+PLAIN_OVERLAP = 1 << 18  # longest product of two keys' lengths that is searched by plain substrings
+
 
 def visible_key(text: str) -> tuple[str, list[int]]:
     """Digits, Latin letters and ideographs that a reader sees, in NFKC and lower case, and where each stands."""
     import re
     import unicodedata
-    text = re.sub(TAIL_MASKED, lambda m: " " * len(m.group(0)), text or "")
+    text = text or ""
+    if "!" in text or "<" in text or "\\" in text:  # every mask begins with one of these
+        text = re.sub(TAIL_MASKED, lambda m: " " * len(m.group(0)), text)
+    if text.isascii():
+        low = text.lower()
+        seen = KEY_BYTES[np.frombuffer(low.encode(), np.uint8)]
+        return low.translate(NOT_KEY), np.flatnonzero(seen).tolist()
     pairs = [(c, i) for i, raw in enumerate(text) for c in unicodedata.normalize("NFKC", raw).lower()
              if "0" <= c <= "9" or "a" <= c <= "z" or "\u3400" <= c <= "\u9fff"]
     return "".join(c for c, _ in pairs), [i for _, i in pairs]
@@ -122,7 +132,15 @@ def _prefixes(key: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def longest_overlap(a: str, b: str) -> tuple[int, int, int]:
-    """Length and places of the longest run both keys hold, by halving over lengths of hashed runs."""
+    """Length and places of the longest run both keys hold: short keys by growing runs, long ones by halving over lengths of hashed runs."""
+    if len(a) * len(b) <= PLAIN_OVERLAP:
+        n = to = j = 0
+        while j + n < len(b):
+            if b[j:j + n + 1] in a:
+                n, to = n + 1, j
+            else:
+                j += 1
+        return (n, a.find(b[to:to + n]), to) if n else (0, 0, 0)
     (pa, ba), (pb, bb) = _prefixes(a), _prefixes(b)
     runs = lambda p, back, n: (p[n:] - p[:-n]) * back[:len(p) - n]
     low, high, best = 0, min(len(a), len(b)), (0, 0, 0)
@@ -142,6 +160,8 @@ def longest_overlap(a: str, b: str) -> tuple[int, int, int]:
 def covered(a: str, b: str, run: int = 8) -> int:
     """Characters of ``a`` explained by ``b`` in order: runs are extended, and met again behind a difference."""
     from bisect import bisect_left
+    if a.startswith(b) or b.startswith(a):
+        return min(len(a), len(b))
     spots = {}
     for j in range(len(b) - run + 1):
         spots.setdefault(b[j:j + run], []).append(j)
@@ -174,14 +194,8 @@ def swallowed_from(anchor: str, recovered: str) -> int | None:
     b, _ = visible_key(recovered)
     if min(len(a), len(b)) < TAIL_KEY:
         return None
-    size, at, to = longest_overlap(a, b)
-    if size < TAIL_OVERLAP or to > TAIL_PLACE:
-        return None
-    middle = to + (size - TAIL_OVERLAP) // 2
-    if a.count(b[middle:middle + TAIL_OVERLAP]) != 1 or b.count(b[middle:middle + TAIL_OVERLAP]) != 1:
-        return None
     least = max(TAIL_BEFORE, len(a) // 5)
-    for j in range(min(TAIL_PLACE, len(b) - TAIL_RUN) + 1):
+    for j in range(min(TAIL_PLACE, len(b) - TAIL_RUN) + 1):  # the cheapest proof first
         i = a.find(b[j:j + TAIL_RUN], least)
         if i >= 0:
             n = TAIL_RUN
@@ -192,6 +206,12 @@ def swallowed_from(anchor: str, recovered: str) -> int | None:
         return None
     if a.count(b[j:j + n]) != 1 or b.count(b[j:j + n]) != 1:
         return None
+    size, at, to = longest_overlap(a, b)
+    if size < TAIL_OVERLAP or to > TAIL_PLACE:
+        return None
+    middle = to + (size - TAIL_OVERLAP) // 2
+    if a.count(b[middle:middle + TAIL_OVERLAP]) != 1 or b.count(b[middle:middle + TAIL_OVERLAP]) != 1:
+        return None
     tail, rest = a[i:], b[j:]
     same = covered(tail, rest)
     if same < TAIL_SHARE * len(tail) or 2 * same < TAIL_SHARE * (len(tail) + len(rest)) or re.search(TAIL_IMAGE, anchor[places[i]:]):

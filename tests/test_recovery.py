@@ -69,3 +69,30 @@ def test_trimmed_rows(spark):
     found = spark.createDataFrame([(1, 2, "2. " + nxt), (2, 2, nxt), (2, 3, nxt), (2, 3, nxt + "x")], "doc long, number int, text string")
     got = {(r.doc, r.number): (r.trimmed, r.text) for r in IM.trim_swallowed_tail(rows, found).collect()}
     assert got == {(1, 1): (True, own), (1, 2): (False, own), (2, 1): (False, None), (2, 2): (False, own + nxt)}  # two recovered texts prove nothing
+
+
+def test_plain_and_hashed_overlaps_agree(monkeypatch):
+    rng = random.Random(5)
+    for k in range(60):
+        a, b = ("".join(rng.choice("abc" if k % 2 else "abcdefghijkl") for _ in range(rng.randint(0, 90))) for _ in range(2))
+        plain = IM.longest_overlap(a, b)
+        monkeypatch.setattr(IM, "PLAIN_OVERLAP", -1)
+        assert plain == IM.longest_overlap(a, b)
+        monkeypatch.undo()
+    assert IM.longest_overlap("", "abc") == (0, 0, 0)
+
+
+def test_keys_of_ascii_texts_equal_those_of_others():
+    for text in ("A b<sub>1</sub> ![x](y.png) \\left(Z9_\n", "", "Q!<k", "\\displaystyle 12"):
+        key, places = IM.visible_key(text)
+        wide, at = IM.visible_key(text + "\u3002")  # not ASCII, adds nothing to a key
+        assert (key, places) == (wide, at)
+
+
+def test_short_keys_need_no_hashed_runs(monkeypatch):
+    def fail(key):
+        raise AssertionError("a short key was hashed")
+    monkeypatch.setattr(IM, "_prefixes", fail)
+    rng = random.Random(6)
+    own, nxt = ("".join(rng.choice("0123456789abcdef") for _ in range(n)) for n in (96, 128))
+    assert IM.swallowed_from(own + "\n" + nxt, nxt) == len(own) + 1
