@@ -96,3 +96,15 @@ def test_every_number_is_registered():
 
     names = set(entry.queries())
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+
+
+def test_every_stage_hands_small_batches_to_workers(spark):
+    import corpus_pipeline as P
+    docs = spark.createDataFrame([(1, "ein kurzer Text"), (2, None)], "doc_id long, text string").selectExpr("doc_id", "text", "'de' lang", "'a' source", "15L n_chars")
+    saved = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        assert P.best_fit_packing(spark, docs, "").count() == 2
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == P.BATCH_ROWS
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", saved)
