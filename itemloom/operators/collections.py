@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.passes import nfkc, topic_core, topic_key
-from ..scale import dense_chunk, fold, lag, lead, running_count, scan
+from ..scale import chunks_of, dense_chunk, fold, lag, lead, running_count, scan
 from ..session import materialise
 
 # Title words and limits.
@@ -136,12 +136,13 @@ def restart_groups(numbers: DataFrame) -> tuple[DataFrame, DataFrame]:
     between them overlap below 80 %, or when a group opens at a section heading. A group
     keeps its distinct numbers only, at most 300 by their range.
     """
-    hits = numbers.filter(F.col("number").between(1, 300)).withColumn("_c", dense_chunk("line_no"))
+    hits = numbers.filter(F.col("number").between(1, 300))
+    chunk = chunks_of(hits, "line_no")
     if "section" not in hits.columns:
         hits = hits.withColumn("section", F.lit(False))
-    marked = scan(hits, ["doc"], ["line_no"], "_c", {"_before": lag(F.col("number"))})
+    marked = scan(hits, ["doc"], ["line_no"], chunk, {"_before": lag(F.col("number"))})
     opens = (F.col("number") == 1) & (F.col("_before") != 1)
-    runs = scan(marked.withColumn("_opens", F.coalesce(opens, F.lit(False))), ["doc"], ["line_no"], "_c", {"_run": running_count(F.col("_opens"))})
+    runs = scan(marked.withColumn("_opens", F.coalesce(opens, F.lit(False))), ["doc"], ["line_no"], chunk, {"_run": running_count(F.col("_opens"))})
     at = F.min_by(F.struct("line_no", "number", "titled", "section"), "line_no")
     groups = materialise(runs.groupBy("doc", (F.col("_run") + 1).cast("int").alias("grp")).agg(
         at.alias("_at"), F.sort_array(F.collect_set("number")).alias("question_numbers"))

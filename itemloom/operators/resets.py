@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.marks import arabic, chinese_number, strip
 from ..functions.passes import nfkc, topic_core, topic_key
-from ..scale import Carry, dense_chunk, fold, lag, last_seen, lead, running_count, running_max, scan
+from ..scale import Carry, chunks_of, dense_chunk, fold, lag, last_seen, lead, running_count, running_max, scan
 from ..session import materialise
 from .collections import MIN_COVERAGE, MIN_NUMBERS, MIN_OVERLAP
 
@@ -61,12 +61,13 @@ def number_hits(lines: DataFrame) -> DataFrame:
     kind = (F.when(F.col("_head"), F.when(number.isNotNull(), "other").when(title == "", "cover").when(title.rlike(SECTION), "section").otherwise("title"))
             .when(title.rlike(COVER) | F.trim(text).rlike(IMAGE), "cover").otherwise("other"))
     slim = told.withColumn("kind", kind).select("doc", "line_no", "number", "kind", text.rlike(FENCE).alias("fence"),
-                                                F.when(F.col("kind") == "title", title).alias("title"), dense_chunk("line_no").alias("_c"))
-    fenced = scan(slim, ["doc"], ["line_no"], "_c", {"fences": running_count(F.col("fence"))})
+                                                F.when(F.col("kind") == "title", title).alias("title"))
+    chunk = chunks_of(lines, "line_no")
+    fenced = scan(slim, ["doc"], ["line_no"], chunk, {"fences": running_count(F.col("fence"))})
     inside = F.col("fence") | (F.col("fences") % 2 == 1)
-    clear = fenced.select("doc", "line_no", "_c", "title", F.when(~inside, F.col("number")).alias("number"), F.when(inside, "other").otherwise(F.col("kind")).alias("kind"))
+    clear = fenced.select("doc", "line_no", "title", F.when(~inside, F.col("number")).alias("number"), F.when(inside, "other").otherwise(F.col("kind")).alias("kind"))
     seen = F.struct("kind", "line_no", "title")
-    looked = scan(clear, ["doc"], ["line_no"], "_c", {
+    looked = scan(clear, ["doc"], ["line_no"], chunk, {
         "near": last_seen(F.when(F.col("kind") != "section", seen), False),
         "far": last_seen(F.when(~F.col("kind").isin("section", "cover"), seen), False), "before": lag(F.col("kind"))})
     near = (F.col("near.kind") == "title") & (F.length("near.title") <= TITLE_CHARS)
@@ -90,13 +91,14 @@ def nested_units(units: DataFrame, hits: DataFrame, min_coverage: float = MIN_CO
                          *[F.lit(None).cast(t).alias(c) for c, t in (("number", "int"), ("title", "string"), ("title_line", "long"))])
             .unionByName(hits.select("doc", "line_no", F.lit(1).alias("_is_hit"), F.lit(None).cast(units.select(F.struct("unit", "start_line")).schema[0].dataType).alias("_unit"),
                                      F.col("number").cast("int").alias("number"), "title", F.col("title_line").cast("long").alias("title_line"))))
-    placed = scan(rows.withColumn("_c", dense_chunk("line_no")), ["doc"], ["line_no", "_is_hit"], "_c", {"_unit": last_seen(F.col("_unit"))})
+    chunk = chunks_of(rows, "line_no")
+    placed = scan(rows, ["doc"], ["line_no", "_is_hit"], chunk, {"_unit": last_seen(F.col("_unit"))})
     own = placed.filter("_is_hit = 1 AND _unit IS NOT NULL").select(
-        "doc", F.col("_unit.unit").alias("unit"), "line_no", "_c", "number",
+        "doc", F.col("_unit.unit").alias("unit"), "line_no", "number",
         F.when(F.col("title_line") >= F.col("_unit.start_line"), F.struct("title", "title_line")).alias("head"))
-    marked = scan(own, ["doc", "unit"], ["line_no"], "_c", {"before": lag(F.col("number"))})
+    marked = scan(own, ["doc", "unit"], ["line_no"], chunk, {"before": lag(F.col("number"))})
     opens = F.coalesce((F.col("number") == 1) & (F.col("before") != 1) & F.col("head").isNotNull(), F.lit(False))
-    runs = materialise(scan(marked.withColumn("_opens", opens), ["doc", "unit"], ["line_no"], "_c", {"run": running_count(F.col("_opens"))}).drop("_c", "_opens"))
+    runs = materialise(scan(marked.withColumn("_opens", opens), ["doc", "unit"], ["line_no"], chunk, {"run": running_count(F.col("_opens"))}).drop("_opens"))
 
     def step(state, part):
         out = []
@@ -172,13 +174,14 @@ def solution_units(exams: DataFrame, hits: DataFrame, titles: DataFrame) -> tupl
                 F.col("title_line").cast("long").alias("plain_line"), F.lit(None).cast(kind).alias("cand"))))
     keys, order = ["collection"], ["line_no", "_is_hit"]
     number = F.col("number")
-    seen = scan(rows.withColumn("_c", dense_chunk("line_no")), keys, order, "_c", {
+    chunk = chunks_of(rows, "line_no")
+    seen = scan(rows, keys, order, chunk, {
         "cand": last_seen(F.col("cand")), "before": last_seen(number, False), "before_line": last_seen(F.when(number.isNotNull(), F.col("line_no")), False),
         "high": running_max(number, False), "low": Carry("min", number, False)}).filter("_is_hit = 1")
     two = seen.withColumn("_two", F.coalesce((number == 1) & (F.col("low") != F.col("high")), F.lit(False)))
-    once = scan(two, keys, order, "_c", {"_earlier": running_count(F.col("_two"), False)})
+    once = scan(two, keys, order, chunk, {"_earlier": running_count(F.col("_two"), False)})
     opened = once.withColumn("_opens", F.col("_two") & ((F.col("before") != 1) | (F.col("_earlier") == 0)))
-    placed = scan(opened, keys, order, "_c", {"_run": running_count(F.col("_opens"))})
+    placed = scan(opened, keys, order, chunk, {"_run": running_count(F.col("_opens"))})
     free = F.col("before_line").isNull()
     strong = F.when(free | (F.col("cand.line_no") > F.col("before_line")), F.col("cand"))
     plain = F.when(F.col("plain").isNotNull() & (free | (F.col("plain_line") > F.col("before_line"))), F.struct(

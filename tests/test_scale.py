@@ -70,3 +70,12 @@ def test_fold_sees_rows_in_order_across_batches(spark):
         assert {(r.k, r.ok, r.n) for r in got.collect()} == {("hot", True, 400), ("a", True, 7), ("b", True, 1), ("c", True, 30)}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_keys_of_one_chunk_cost_one_shuffle(spark):
+    df = spark.createDataFrame(rows(), "k string, pos long, v int")
+    got = S.scan(df, ["k"], ["pos"], S.chunks_of(df, "pos"), {"s": S.running_sum(F.col("v"))})
+    again = S.scan(S.heavy_chunk(got, ["k"], F.col("pos")), ["k"], ["pos"], F.col("_hc"), {"ld": S.lead(F.col("v"))})
+    ranked = S.rank_in_key(again, ["k"], [F.col("pos").asc()])
+    plan = ranked._jdf.queryExecution().sparkPlan().toString() + ranked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and len(ranked.collect()) == 438
