@@ -154,13 +154,10 @@ RECOVERED = {"choice": "单选题（由整段 A-D 选项恢复）", "fill": "填
 
 def _stage(blocks: DataFrame, per_run, decide) -> DataFrame:
     """One repair: aggregate each run of neighbouring stems of one section, then rewrite rows."""
-    marked = runs(blocks, ["doc"], F.col("zone") == "stem", F.col("section"))
-    placed = materialise(marked)
-    stats = per_run(placed)
-    new = placed.join(stats, ["doc", "run"], "left").select("doc", "idx", decide().alias("_new"))
-    changed = new.filter("_new IS NOT NULL")
-    return materialise(blocks.join(changed, ["doc", "idx"], "left")
-                       .withColumn("section", F.coalesce("_new", "section")).drop("_new"))
+    placed = runs(blocks, ["doc"], F.col("zone") == "stem", F.col("section"), others=True)
+    stats = per_run(placed.filter("run IS NOT NULL"))
+    new = placed.join(stats, ["doc", "run"], "left").withColumn("section", F.coalesce(decide(), "section"))
+    return materialise(new.select(*blocks.columns))
 
 
 def repair_sections(blocks: DataFrame) -> DataFrame:
@@ -168,8 +165,9 @@ def repair_sections(blocks: DataFrame) -> DataFrame:
     rows = with_choices(blocks, name="_c")
     known = F.col("_c.complete_known")
     pics = F.regexp_count("text", F.lit(r"!\[[^\]]*\]\([^)]*\)")) >= 3
+    # texts stay behind; the stages carry positions, headings and flags
     rows = materialise(rows.select(
-        *blocks.columns, (known | (F.col("_c.blank") & pics)).alias("s_choice"), (known | F.col("_c.blank")).alias("s_any"),
+        "doc", "idx", "number", "zone", "group", "section", (known | (F.col("_c.blank") & pics)).alias("s_choice"), (known | F.col("_c.blank")).alias("s_any"),
         has_fill_mark(F.col("text")).alias("s_fill"), has_subquestions(F.col("text")).alias("s_sub"), known.alias("s_known"),
         F.contains(F.col("text"), F.lit("___")).alias("s_line")))
     fill, generic, exact = F.col("section").rlike("(?:填空|实验)题"), F.col("section").rlike("选择题"), F.col("section").rlike("单选|多选|不定项|单项|多项")
@@ -194,7 +192,9 @@ def repair_sections(blocks: DataFrame) -> DataFrame:
                   .when(generic & ~exact & (F.col("idx") > F.col("hi")) & (F.col("tn") >= 3) & (F.col("tf") * 2 >= F.col("tn")) & (F.col("tc") == 0), RECOVERED["tail_fill"]))
     rows = _solution_runs(rows, fill)
     rows = _stage(rows, _fill_prefix, lambda: F.when(F.col("section").contains("解答") & (F.col("idx") < F.col("stop")), RECOVERED["fill_prefix"]))
-    return rows.select(*blocks.columns)
+    told = rows.select("doc", "idx", F.struct("section").alias("_s"))
+    full = blocks.join(told, ["doc", "idx"], "left").withColumn("section", F.when(F.col("_s").isNotNull(), F.col("_s.section")).otherwise(F.col("section")))
+    return full.select(*blocks.columns)
 
 
 def _fill_prefix(placed: DataFrame) -> DataFrame:
@@ -208,11 +208,10 @@ def _fill_prefix(placed: DataFrame) -> DataFrame:
 
 def _solution_runs(rows: DataFrame, fill: Column) -> DataFrame:
     cand = (F.col("zone") == "stem") & F.col("number").isNotNull() & fill & ~F.col("s_line") & F.col("s_sub")
-    marked = materialise(runs(rows, ["doc"], F.coalesce(cand, F.lit(False)), F.lit("")))
-    per = marked.groupBy("doc", "run").agg(
+    marked = runs(rows, ["doc"], F.coalesce(cand, F.lit(False)), F.lit(""), others=True)
+    per = marked.filter("run IS NOT NULL").groupBy("doc", "run").agg(
         F.count("*").alias("n"), F.min(F.col("number") - F.col("idx")).alias("a"), F.max(F.col("number") - F.col("idx")).alias("b"),
         F.min(F.coalesce("group", F.lit("-"))).alias("g"), F.max(F.coalesce("group", F.lit("-"))).alias("h"))
-    good = per.filter("n >= 3 AND a = b AND g = h").select("doc", "run")
-    hit = marked.join(good, ["doc", "run"], "left_semi").select("doc", "idx", F.lit(True).alias("_hit"))
-    return materialise(rows.join(hit, ["doc", "idx"], "left")
-                       .withColumn("section", F.when(F.col("_hit"), RECOVERED["solution"]).otherwise(F.col("section"))).drop("_hit"))
+    good = per.filter("n >= 3 AND a = b AND g = h").select("doc", "run", F.lit(True).alias("_hit"))
+    out = marked.join(good, ["doc", "run"], "left").withColumn("section", F.when(F.col("_hit"), RECOVERED["solution"]).otherwise(F.col("section")))
+    return materialise(out.select(*rows.columns))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from ..scale import dense_chunk, lag, last_seen, lead, row_number, running_count, running_max, running_sum, scan
+from ..scale import chunks_of, dense_chunk, lag, last_seen, lead, row_number, running_count, running_max, running_sum, scan
 
 MAX_GAP = 10  # fixed value: longer gaps are taken for misread numbers
 RESTART_SEEN, RESTART_TAIL = 5, 3  # fixed values
@@ -104,14 +104,19 @@ def form_blocks(lines: DataFrame, keys: list[str], boundary: Column, pos: str =
         F.min(pos).alias("first_line"), F.count("*").alias("lines"))
 
 
-def runs(df: DataFrame, keys: list[str], member: Column, value: Column, pos: str = "idx") -> DataFrame:
-    """Number the stretches of neighbouring member rows with one value (other rows dropped)."""
-    base = (df.withColumn("_c", dense_chunk(pos)).withColumn("_in", F.coalesce(member, F.lit(False)))
-            .withColumn("_val", F.coalesce(value, F.lit(""))))
-    step = materialise(scan(base, keys, [pos], "_c", {"_pin": lag(F.col("_in")), "_pval": lag(F.col("_val"))}))
+def runs(df: DataFrame, keys: list[str], member: Column, value: Column, pos: str = "idx", others: bool = False) -> DataFrame:
+    """Number the stretches of neighbouring member rows with one value.
+
+    Other rows are dropped, or kept with a null run if ``others``.
+    """
+    chunk = chunks_of(df, pos)
+    keep = materialise if chunk is not None else lambda rows: rows  # windows over one key follow on each other without files
+    base = df.withColumn("_in", F.coalesce(member, F.lit(False))).withColumn("_val", F.coalesce(value, F.lit("")))
+    step = keep(scan(base, keys, [pos], chunk, {"_pin": lag(F.col("_in")), "_pval": lag(F.col("_val"))}))
     opens = F.col("_in") & (~F.coalesce("_pin", F.lit(False)) | (F.col("_pval") != F.col("_val")))
-    numbered = scan(step, keys, [pos], "_c", {"run": running_count(opens)})
-    return numbered.filter("_in").drop("_in", "_val", "_pin", "_pval", "_c")
+    numbered = scan(step, keys, [pos], chunk, {"run": running_count(opens)})
+    told = numbered.withColumn("run", F.when(F.col("_in"), F.col("run"))) if others else numbered.filter("_in")
+    return told.drop("_in", "_val", "_pin", "_pval")
 
 
 def best_cut(df: DataFrame, keys: list[str], is_solution: Column, pos: str = "idx") -> DataFrame:

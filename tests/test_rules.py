@@ -241,3 +241,20 @@ def test_grid_lines_are_made_once(spark):
     out = LA.assign_options(df, None, "grid")
     assert uses(LA._grids(LA._shaped(df)), "aggregate(") == 1
     assert sorted(tuple(r) for r in out.select("doc", "label", "figure").collect()) == [(1, "A", "a"), (1, "B", "b"), (1, "C", "c"), (1, "D", "d")]
+
+
+def test_section_repair_writes_no_texts(spark, monkeypatch):
+    from itemloom.operators import quality as Q, sequence as S
+    written = []
+
+    def noted(df):
+        written.append(df.columns)
+        return df
+    monkeypatch.setattr(Q, "materialise", noted)
+    monkeypatch.setattr(S, "materialise", noted)
+    rows = [("d", i, i + 1, "stem", "一、选择题", None, f"{i + 1}. 求 x 的值 = ___") for i in range(4)] + [("d", 4, 1, "solution", "一、选择题", None, "1. A"), (None, 0, 1, "stem", "一、选择题", None, "1. 求 x")]
+    blocks = spark.createDataFrame(rows, "doc string, idx long, number int, zone string, section string, group string, text string")
+    got = {(r.doc, r.idx): (r.section, r.text) for r in Q.repair_sections(blocks).collect()}
+    assert all(got["d", i] == (Q.RECOVERED["fill"], rows[i][6]) for i in range(4))
+    assert got["d", 4] == ("一、选择题", "1. A") and got[None, 0] == ("一、选择题", "1. 求 x")
+    assert written and not any("text" in columns for columns in written)
