@@ -78,7 +78,8 @@ def gate(items: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFrame]:
 def recovered_blocks(expected: DataFrame, blocks: DataFrame, anchors: DataFrame | None = None, stem: bool = True) -> DataFrame:
     """Expected (doc, number) with ``state``: ok, or why the recovered block is refused."""
     one = blocks.groupBy("doc", "number").agg(F.count("*").alias("_n"), F.min("text").alias("text"))
-    j = with_choices(expected.join(one, ["doc", "number"], "left"), F.coalesce("text", F.lit("")), "_c")
+    # the options of a block that does not stand alone decide nothing
+    j = with_choices(expected.join(one, ["doc", "number"], "left"), F.when(F.col("_n") == 1, F.col("text")), "_c")
     images = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"!\[[^\]]*\]\([^)]*\)"))
     visible = content_units(F.col("text")) - 40 * images
     thin = (visible < MIN_VISIBLE) & ~((images > 0) & (visible >= MIN_WITH_IMAGE))
