@@ -36,6 +36,16 @@ def token_count(text: Column) -> Column:
     return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP, -1), "")).cast("long")
 
 
+def leaf(levels: list[str]) -> list[Column]:
+    """The names p0.. of a row's nodes."""
+    return [F.coalesce(F.expr(c).cast("string"), F.lit("")).alias(f"p{i}") for i, c in enumerate(levels)]
+
+
+def place(epoch: Column, seed: str = SEED) -> Column:
+    """Where a leaf's order of an epoch has a document."""
+    return F.md5(F.concat_ws(":", F.lit(seed), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+
+
 def _shares(nodes: DataFrame, level: int) -> DataFrame:
     """Give each node of a level its part of its parent's budget (``have``)."""
     parent = Window.partitionBy(*[f"p{i}" for i in range(level)])
@@ -71,24 +81,24 @@ def budgets(leaves: DataFrame, depth: int, weights: dict[int, dict[str, float]],
 
 
 def mixed(df: DataFrame, levels: list[str], weights: dict[int, dict[str, float]], total: Column | None = None, doc_id: str = "doc_id", text: str = "text",
-          epochs: int = EPOCHS, seed: str = SEED, stretches: int = STRETCHES, more: tuple[str, ...] = ()) -> DataFrame:
+          epochs: int = EPOCHS, seed: str = SEED, stretches: int = STRETCHES, more: tuple[str, ...] = (), tie: str | None = None) -> DataFrame:
     """Rows taken: doc_id, levels p0.., epoch, start, n_tokens, take, and ``more`` columns.
 
     ``levels`` are SQL expressions over the rows. ``start`` is the place in the leaf's stream of tokens; ``take`` (at most n_tokens) is how
-    many of the document's first tokens fall under the leaf's budget.
+    many of the document's first tokens fall under the leaf's budget. A leaf's order is by
+    ``place``, then by a hash of the text, which ``tie`` adds as a column.
     """
     depth = len(levels)
     names = [f"p{i}" for i in range(depth)]
     total = F.col("all_tokens") if total is None else total
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), token_count(F.col(text)).alias("n_tokens"), F.xxhash64(text).alias("_tie"),
-                     *[F.coalesce(F.expr(c).cast("string"), F.lit("")).alias(n) for c, n in zip(levels, names)], *[F.col(c) for c in more])
+                     *leaf(levels), *[F.col(c) for c in more])
     rows = materialise(rows.filter("n_tokens > 0"))
     leaves = materialise(rows.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"), (F.sum("n_tokens") * epochs).alias("capacity")))
     given = materialise(budgets(leaves, depth, weights, total))
     # an epoch that a leaf's budget cannot reach is never dealt
     dealt = rows.join(given.select(*names, "tokens", "budget"), names).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).filter(F.col("epoch") * F.col("tokens") < F.col("budget"))
-    place = F.md5(F.concat_ws(":", F.lit(seed), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    dealt = dealt.withColumn("place", place).withColumn("stretch", F.floor(F.conv(F.substring("place", 1, 6), 16, 10).cast("long") * stretches / (1 << 24)).cast("int"))
+    dealt = dealt.withColumn("place", place(F.col("epoch"), seed)).withColumn("stretch", F.floor(F.conv(F.substring("place", 1, 6), 16, 10).cast("long") * stretches / (1 << 24)).cast("int"))
     key = [*names, "epoch"]
     held = dealt.groupBy(*key, "stretch").agg(F.sum("n_tokens").alias("_n"))
     before = Window.partitionBy(*key).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)  # at most ``stretches`` rows
@@ -97,7 +107,7 @@ def mixed(df: DataFrame, levels: list[str], weights: dict[int, dict[str, float]]
     placed = dealt.join(held, [*key, "stretch"]).filter(F.col("epoch") * F.col("tokens") + F.col("_base") < F.col("budget"))
     start = F.col("epoch") * F.col("tokens") + F.col("_base") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))
     out = placed.withColumn("start", start).filter(F.col("start") < F.col("budget"))
-    return out.select("doc_id", *names, "epoch", "start", "n_tokens", F.least(F.col("n_tokens"), F.col("budget") - F.col("start")).alias("take"), *more)
+    return out.select("doc_id", *names, "epoch", "start", "n_tokens", F.least(F.col("n_tokens"), F.col("budget") - F.col("start")).alias("take"), *more, *([F.col("_tie").alias(tie)] if tie else []))
 
 
 #: Production tree over documents: four domains of sources, languages, sources.

@@ -108,3 +108,16 @@ def test_every_stage_hands_small_batches_to_workers(spark):
         assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == P.BATCH_ROWS
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", saved)
+
+
+def test_mixing_tells_documents_by_their_places(spark):
+    """The same documents as by their ids, with no join of texts to ids; a document without words goes though its id is taken."""
+    import corpus_pipeline as P
+    from itemloom.llm import mixing
+    rows = [(i, "wort " * (i % 7 + 1), ("de", "en")[i % 2], f"s{i % 5}") for i in range(300)] + [(1, "", "en", "s1"), (2, None, "de", "s2"), (None, "ohne nummer", "de", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "15L n_chars")
+    stage = P.mixing_weights(spark, docs, "")
+    assert "LeftSemi" not in stage._jdf.queryExecution().optimizedPlan().toString()
+    taken = mixing.mixed(docs, mixing.LEVELS, mixing.WEIGHTS, P.F.floor(P.F.col("all_tokens") * P.MIX_SHARE), epochs=1)
+    got = [r.doc_id for r in stage.collect()]
+    assert len(got) == len(set(got)) < 301 and set(got) == {r.doc_id for r in taken.collect()}
