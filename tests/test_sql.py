@@ -52,6 +52,11 @@ def test_segmented_papers_keeps_shifted_tails(spark, tmp_path):
     assert same_as_sql(spark, tmp_path, "segmented_papers", lineitem=(rows, LINEITEM)) == [(1, 6, 11)]
 
 
+def test_segmented_papers_keeps_the_zone_where_numbers_restart(spark, tmp_path):
+    rows = order_lines(1, [(n, "N", "F") for n in (1, 2, 3, 4, 5, 1, 3, 3, 4)])
+    assert same_as_sql(spark, tmp_path, "segmented_papers", lineitem=(rows, LINEITEM)) == [(1, 9, 26)]
+
+
 def test_stream_ingest_reads_a_table_of_several_files(spark, tmp_path):
     rows = [(k, "x", "en", f"src{k % 2}", k % 3) for k in range(9)]
     assert len(same_as_sql(spark, tmp_path, "stream_ingest", documents=(rows, DOCUMENTS))) == 6
