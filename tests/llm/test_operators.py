@@ -333,6 +333,18 @@ def test_packing_places_every_piece(spark):
     assert len(fill) <= -(-got.length.sum() // 2048) + 1
 
 
+
+def test_packing_leaves_no_bin_of_a_shard_half_empty(spark):
+    lengths = np.random.default_rng(2).integers(1, 900, 700).tolist()
+    cut = spark.createDataFrame([(k, 0, 0, n, 0) for k, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = packing.pack(cut, shard=50).toPandas()
+    fill = got.groupby("sequence_id")["length"].sum()
+    assert len(got) == 700 and fill.max() <= packing.LIMIT and sorted(got["length"]) == sorted(lengths)
+    assert len(fill) <= -(-sum(lengths) // packing.LIMIT) + 3  # 14 shards by themselves leave about one each
+    ends = got.sort_values(["sequence_id", "offset"])
+    assert (ends.groupby("sequence_id")["length"].cumsum() - ends["length"] == ends["offset"]).all()
+
+
 def test_crossover_keeps_pieces_and_limit():
     rng = np.random.default_rng(0)
     lengths = rng.integers(1, 2048, 700)
